@@ -8,12 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import bpe, token_count
+from lexigrain.llm import bpe, decontaminate, html_text, sharding, token_count, topk
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Tokens above which a text counts as over the limit.
 TOKEN_LIMIT = 512
+SHARDS = 24
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+) WHERE rank <= 5
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +42,44 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), digests=True)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of SHARDS by rendezvous of its doc_id, its slot there, and its shard if one more came."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    dealt = sharding.shard_records(rows, "doc_id", [1.0] * SHARDS, "shard", "grown_shard")
+    out = sharding.with_slots(dealt, "shard", ("doc_id", "text_crc32", "size"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand inside an occurrence of a benchmark window, and the items found."""
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.size("hits").cast("long")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text."""
     counts = token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every 50th vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, "vec_id", "embedding", 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (op1_bpe, op5_token_count)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op4_decontamination, op5_token_count, op8_html_text, op9_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {"op9_top_k": OP9_SQL}
