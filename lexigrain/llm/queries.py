@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import bpe, decontaminate, html_text, sharding, token_count, topk
+from lexigrain.llm import bpe, decontaminate, html_text, labelled, quality, sharding, token_count, topk, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 #: Tokens above which a text counts as over the limit.
 TOKEN_LIMIT = 512
 SHARDS = 24
+#: Scores from which a document counts as good, and as toxic.
+QUALITY_FROM, TOXIC_FROM = 0.3, 0.5
 
 
 OP9_SQL = """
@@ -64,6 +66,21 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (labelled.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (labelled.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -77,7 +94,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op4_decontamination, op5_token_count, op8_html_text, op9_top_k)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op4_decontamination, op5_token_count, op6_quality, op7_toxicity, op8_html_text, op9_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
