@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lexigrain.llm.bpe import MergeTable, byte_chars
 
 #: Compiled states per worker; when full, compilation starts anew.
-MAX_STATES = 120_000
+MAX_STATES = 350_000
 #: Characters of a chunk.
 CHUNK_CHARS = 1 << 16
 
