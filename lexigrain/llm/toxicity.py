@@ -8,9 +8,9 @@ language model and the cost of each disguise is the restored word.  Everything
 else is only folded.
 
 The score rests on words and word beginnings of the restored text.  Those that
-occur in toxic texts are taken greedily, each for the toxic texts that none
-before it explains, so the words that merely travel with copied toxic texts
-stay out.
+occur in hardly any clean text and in a good share of the toxic ones are taken,
+and then others greedily, each for the toxic texts that none before it
+explains, so the words that merely travel with copied toxic texts stay out.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ LEET_COST, SEPARATOR_COST, REPEAT_COST = 1.0, 0.5, 0.5
 BEGINNINGS = (4, 5, 6)
 #: A feature needs so many toxic texts, of which so few may be clean, and must explain so many that nothing before it does.
 MIN_TOXIC, MIN_SHARE, MIN_NEW = 4, 0.9, 4
+#: Features of so many toxic texts, and of this share of them, are all taken: no family of copies is that large.
+BROAD_TEXTS, BROAD_SHARE = 20, 0.02
 #: Decoded words kept per worker; when full the cache starts anew.
 CACHE_WORDS = 200_000
 
@@ -247,7 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], names=["features"])
 
     texts = [set(r.features) for r in distinct.filter(toxic).select("features").mapInArrow(of_toxic, "features array<string>").toLocalIterator()]
-    chosen = choose(texts, stats)
+    broad = {f for f, (t, _) in stats.items() if t >= max(BROAD_TEXTS, BROAD_SHARE * len(texts))}
+    chosen = sorted(broad.union(choose(texts, stats)))
     model.shares = {f: (stats[f][0] + 0.2) / (stats[f][1] + 0.4) for f in chosen}
     missed = sum(not (t & model.shares.keys()) for t in texts)
     model.base = missed / max(1, missed + totals.n - totals.t)
