@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import bpe, decontaminate, html_text, labelled, quality, sharding, token_count, topk, toxicity
+from lexigrain.llm import bpe, decontaminate, html_text, jaccard, labelled, quality, sharding, token_count, topk, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -92,9 +92,14 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, "vec_id", "embedding", 5)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard.component_ids(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op4_decontamination, op5_token_count, op6_quality, op7_toxicity, op8_html_text, op9_top_k)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op4_decontamination, op5_token_count, op6_quality, op7_toxicity, op8_html_text, op9_top_k, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
