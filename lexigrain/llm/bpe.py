@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept encoded per worker; when full the cache starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 700_000
 #: Characters of text whose distinct words go into one trie.
 GROUP_CHARS = 1_000_000
 
