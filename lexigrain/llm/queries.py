@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm import bpe, decontaminate, html_text, jaccard, labelled, quality, sharding, token_count, topk, toxicity
+from lexigrain.llm import bpe, decontaminate, html_text, jaccard, labelled, line_dedup, quality, sharding, token_count, topk, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +19,39 @@ SHARDS = 24
 QUALITY_FROM, TOXIC_FROM = 0.3, 0.5
 
 
+# Every line's shortest run of 50 words that begins there and that ends there, as text; first occurrence stays.
+OP3_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t
+), w AS (
+  SELECT *, greatest(1, len(regexp_split_to_array(trim(line, ' '), '[ \\t\\x0B\\f\\r]+'))) AS w FROM l
+), q AS (
+  SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS q FROM w
+), p AS (
+  SELECT *, q - w AS p FROM q
+), f AS (
+  SELECT *,
+    string_agg(line, chr(10)) OVER fw AS ft, max(pos) OVER fw AS fe, max(q) OVER fw - p AS fn,
+    string_agg(line, chr(10)) OVER bw AS bt, min(pos) OVER bw AS bs, q - min(p) OVER bw AS bn
+  FROM p WINDOW fw AS (PARTITION BY doc_id ORDER BY p RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+                bw AS (PARTITION BY doc_id ORDER BY q RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), c AS (
+  SELECT doc_id, pos, line,
+    CASE WHEN fn >= 50 AND (doc_id, pos) > min((doc_id, pos)) OVER (PARTITION BY ft, fn >= 50) THEN fe END AS fe,
+    CASE WHEN bn >= 50 AND (doc_id, bs) > min((doc_id, bs)) OVER (PARTITION BY bt, bn >= 50) THEN bs END AS bs
+  FROM f
+), d AS (
+  SELECT doc_id, pos, line,
+    coalesce(max(fe) OVER (PARTITION BY doc_id ORDER BY pos) >= pos, false)
+    OR coalesce(min(bs) OVER (PARTITION BY doc_id ORDER BY pos DESC) <= pos, false) AS gone
+  FROM c
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
@@ -53,6 +86,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that later copies of repeated runs make up, and what is left of its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs, counts=True)
+    return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand inside an occurrence of a benchmark window, and the items found."""
     found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -99,9 +139,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op4_decontamination, op5_token_count, op6_quality, op7_toxicity, op8_html_text, op9_top_k, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_line_dedup, op4_decontamination, op5_token_count, op6_quality, op7_toxicity, op8_html_text, op9_top_k, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op9_top_k": OP9_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op9_top_k": OP9_SQL}
