@@ -22,6 +22,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
@@ -275,13 +276,14 @@ def groups(texts: list[str], chars: int = GROUP_CHARS) -> Iterator[list[str]]:
         yield group
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row per input row: the id, ``n_tokens``, and either ``token_ids`` with ``decoded`` or, for ``digests``, their SHA-256.
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, ids: bool = True) -> DataFrame:
+    """One row per input row: the id, ``n_tokens``, with ``ids`` ``token_ids``, and ``decoded`` or, for ``digests``, the SHA-256 of ids and decoded text.
 
     Null and empty texts have no tokens; repeated rows are kept; other columns
     are not read.  A narrow map: no shuffle, whatever the sizes.
     """
-    out = "n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "token_ids string, decoded string")
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = [f"{id_col} {kind}", "n_tokens long", *["token_ids array<int>"] * ids, *(["ids_sha256 string", "decoded_sha256 string"] if digests else ["decoded string"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
@@ -289,17 +291,21 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                rows = [row for group in groups(texts) for row in (_digests(r) if digests else r for r in tok.encode_all(group))]
-                n, a, b = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n", "a", "b"])
+                out: list[list] = [[] for _ in fields[1:]]
+                for group in groups([t or "" for t in part.column(1).to_pylist()]):
+                    for n, codes, text in tok.encode_all(group):
+                        row = [n, *([np.array(codes.split(), np.int32)] if ids else ()), *(map(_sha256, (codes, text)) if digests else (text,))]
+                        for column, x in zip(out, row, strict=True):
+                            column.append(x)
+                arrays = [pa.array(x, _ARROW[f.split()[-1]]) for f, x in zip(fields[1:], out, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[f.rpartition(" ")[0] for f in fields])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    mapped = named.mapInArrow(run, f"id {kind}, n long, a string, b string")
-    return mapped.toDF(id_col, *(x.split()[0] for x in out.split(", ")))
+    named = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    return named.mapInArrow(run, ", ".join(f"`{f.rpartition(' ')[0]}` {f.rpartition(' ')[2]}" for f in fields))
+
+
+_ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
-def _digests(row: tuple[int, str, str]) -> tuple[int, str, str]:
-    n, ids, text = row
-    return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+def _sha256(x: str) -> str:
+    return hashlib.sha256(x.encode()).hexdigest()

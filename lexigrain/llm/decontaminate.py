@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrain.llm.jaccard import without_rows
+
 #: Consecutive item words that make a window.
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one pass sends to the executors.
@@ -147,8 +149,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, span: int | None = None) -> DataFrame:
-    """One row per document row: ``id_col``, n_words, hits (array of hit word positions), items (sorted array of item ids as strings).
+def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, span: int | None = None, rows: bool = False) -> DataFrame:
+    """One row per document row: ``id_col`` (with ``rows``, before it row, its number in ``docs``), n_words, hits (array of hit word positions), items (sorted array of item ids as strings).
 
     A word is hit inside any occurrence of a window of the benchmark.  With
     ``span`` windows match by proximity instead: their terms in any order, each
@@ -157,7 +159,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     nothing; items with null ids count as "None".
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     passes = []
     for items in _blocks(benchmark, item_col, item_text_col):
         phrases = Phrases.of(items, window)
@@ -185,7 +187,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     hits = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hit - index.starts[of], pa.int64()))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(index.n_words), hits, pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=["id", "row", "n_words", "hits", "items"])
 
-        passes.append(rows.mapInArrow(search, f"id {kind}, row long, n_words long, hits array<long>, items array<string>"))
+        passes.append(texts.mapInArrow(search, f"id {kind}, row long, n_words long, hits array<long>, items array<string>"))
     if len(passes) == 1:
         out = passes[0]
     else:
@@ -194,7 +196,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             both = both.unionByName(p)
         gather = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
         out = both.groupBy("row").agg(F.min("id").alias("id"), F.min("n_words").alias("n_words"), gather("hits").alias("hits"), gather("items").alias("items"))
-    return out.select(F.col("id").alias(id_col), "n_words", "hits", "items")
+    return out.select(*(["row"] if rows else []), F.col("id").alias(id_col), "n_words", "hits", "items")
 
 
 def index_postings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -231,6 +233,6 @@ def items_digest(items: Sequence[str]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.0, **how) -> DataFrame:
-    """The rows of ``docs``, all columns, whose share of hit words is at most ``max_share``; a row's verdict is its id's."""
-    hit = find_items(docs, benchmark, id_col, text_col, **how).filter(F.size("hits") > F.lit(max_share) * F.col("n_words"))
-    return docs.join(hit.select(id_col).distinct(), id_col, "left_anti")
+    """The rows of ``docs``, a scan, all columns, whose share of hit words is at most ``max_share``."""
+    found = find_items(docs, benchmark, id_col, text_col, rows=True, **how)
+    return without_rows(docs, found.filter(F.size("hits") > F.lit(max_share) * F.col("n_words")).select("row"))

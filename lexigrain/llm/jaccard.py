@@ -211,42 +211,60 @@ def verified(pairs: DataFrame, filed: DataFrame, percent: int) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): each row's id, text hash and bytes; each hash's node number and least id."""
+    """(rows, classes): each row's number, id, text hash and bytes; each hash's node number and its least (id, row)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = materialize(docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("h"), F.octet_length(text).cast("long").alias("bytes")), "texts")
-    classes = rows.groupBy("h").agg(F.min("id").alias("least"), F.max("bytes").alias("bytes"), F.count("*").alias("rows"))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("h"), F.octet_length(text).cast("long").alias("bytes")), "texts")
+    classes = rows.groupBy("h").agg(F.min(F.struct("id", "row")).alias("least"), F.max("bytes").alias("bytes"))
     return rows, materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
-def component_ids(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", split=split_words) -> DataFrame:
-    """One row per row: the id, n_shingles (its set's size), component_id (least id reachable by links, itself included).
+def component_rows(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", split=split_words) -> DataFrame:
+    """One row per row: row (its number in ``docs``), id, n_shingles (its set's size), component_id (least id reachable by links, itself included), first (whether it is its component's first row, by id and then number).
 
-    Two documents link when 100 * intersection >= percent * union.  Rows of the
-    same text are always together; a text all of whose ids are null has a null
-    component.  Extra columns are not read.
+    Two documents link when 100 * intersection >= percent * union.  Rows of one
+    text are always together; those without words stand alone.  Null ids come
+    first, and a component of theirs has a null id.  ``docs`` must be a scan,
+    which numbers its rows alike each time; extra columns are not read.
     """
-    spark = docs.sparkSession
     rows, classes = text_classes(docs, id_col, text_col)
     total = classes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     blocks_n = max(1, math.ceil(total.bytes / BLOCK_BYTES))
     buckets = min(65_536, max(1, math.ceil(total.bytes / 6 / BUCKET_TOKENS)))
     width = min(8, max(5, math.ceil((math.log2(total.bytes + 2) + 8) / 8)))
-    # One text of each class, found by its id: copies are left out before any text moves.
-    kept = classes.select("node", F.col("least").alias("id"), F.col("h").alias("own"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("own", F.unhex(F.sha2("text", 256)))
+    # One row of each class: copies are left out before any text moves.
+    kept = classes.select("node", F.col("least.row").alias("row"))
     if total.n <= MAX_BROADCAST_IDS:
         kept = F.broadcast(kept)
-    blocks = texts.join(kept, (texts.own == kept.own) & texts.id.eqNullSafe(kept.id)).select("node", "text", F.pmod(F.xxhash64("node"), F.lit(blocks_n)).cast("int").alias("block"))
-    blocks = blocks.select("block", "node", "text")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("text")).join(kept, "row")
+    blocks = texts.select(F.pmod(F.xxhash64("node"), F.lit(blocks_n)).cast("int").alias("block"), "node", "text")
     sets = materialize(prefixes(blocks, document_frequencies(blocks, size, buckets, width, split), size, percent, split), "sets")
-    links = link(sets.filter("tokens IS NOT NULL"), percent)
-    found = components(links)
-    least = found.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = found.join(least, "component").select("node", "component_id")
+    found = components(link(sets.filter("tokens IS NOT NULL"), percent))
+    least = found.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("head"))
+    of_node = found.join(least, "component").select("node", "head")
     info = classes.join(sets.select("node", F.col("n").cast("long").alias("n_shingles")), "node").join(of_node, "node", "left")
-    info = info.select("h", "n_shingles", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(info, "h").select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    info = info.select("h", "n_shingles", F.coalesce("head", "least").alias("head"))
+    alone = F.col("n_shingles") == 0
+    out = rows.join(info, "h")
+    return out.select("row", "id", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("component_id"), (alone | (F.col("row") == F.col("head.row"))).alias("first"))
+
+
+def component_ids(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", split=split_words) -> DataFrame:
+    """``component_rows`` by id: ``id_col``, n_shingles, component_id."""
+    return component_rows(docs, size, percent, id_col, text_col, split).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with only the first row of each component."""
+    return without_rows(docs, component_rows(docs, size, percent, id_col, text_col).filter(~F.col("first")).select("row"))
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs``, a scan, without the rows of these numbers; the numbers are sent to every executor if they are few."""
+    gone = materialize(rows.select(F.col("row").alias("__row")), "gone")
+    if gone.count() <= MAX_BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
 
 
 def link(filed: DataFrame, percent: int) -> DataFrame:

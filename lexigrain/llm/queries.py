@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lexigrain.llm import bpe, decontaminate, html_text, jaccard, labelled, line_dedup, quality, sharding, token_count, topk, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
@@ -74,7 +75,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; digests of ids and decoded text."""
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), digests=True)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), digests=True, ids=False)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,9 +138,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.component_ids(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline, one after the other."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name."""
-    return {f.__name__: f for f in (op1_bpe, op2_sharding, op3_line_dedup, op4_decontamination, op5_token_count, op6_quality, op7_toxicity, op8_html_text, op9_top_k, op10_jaccard_join)}
+    own = (op1_bpe, op2_sharding, op3_line_dedup, op4_decontamination, op5_token_count, op6_quality, op7_toxicity, op8_html_text, op9_top_k, op10_jaccard_join, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
