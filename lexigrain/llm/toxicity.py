@@ -42,7 +42,7 @@ MIN_TOXIC, MIN_SHARE, MIN_NEW = 4, 0.9, 4
 #: Features of so many toxic texts, and of this share of them, are all taken: no family of copies is that large.
 BROAD_TEXTS, BROAD_SHARE = 20, 0.02
 #: Decoded words kept per worker; when full the cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 # The language model's alphabet: 0 for what is around words, then letters; other letters share the last symbol.
 _LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëìíîïñòóôöõøœùúûüýÿß"
@@ -230,9 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(words, pa.list_(pa.string()))], names=["id", "label", "features"])
 
     seen = sample.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, label int, features array<string>")
+    seen = materialize(seen.withColumn("sign", F.xxhash64("features")), "toxicity-sample")
     toxic = F.col("label") == 1
-    # Copies of one text count once: equal feature sets are one text.
-    distinct = materialize(seen.dropDuplicates(["label", "features"]), "toxicity-sample")
+    # Copies of one text count once: equal feature sets are one text. As few ids as the sample has rows.
+    once = seen.groupBy("label", "sign").agg(F.min("id").alias("id")).select("label", "sign", "id")
+    distinct = seen.join(F.broadcast(once), ["label", "sign", "id"], "left_semi")
     totals = distinct.agg(F.count("*").alias("n"), F.sum(toxic.cast("int")).alias("t")).first()
     model = Model(counts)
     if not totals.n or not totals.t:
@@ -254,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
     model.shares = {f: (stats[f][0] + 0.2) / (stats[f][1] + 0.4) for f in chosen}
     missed = sum(not (t & model.shares.keys()) for t in texts)
     model.base = missed / max(1, missed + totals.n - totals.t)
-    release(distinct)
+    release(seen)
     return model
 
 
