@@ -7,12 +7,15 @@ the setting (tests, a laptop) gets a folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_collected = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +39,19 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_finished(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and broadcasts of finished plans, which it does when the driver collects garbage; every few seconds at most."""
+    global _collected
+    if time.monotonic() - _collected > 3:
+        _collected = time.monotonic()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def release(df: DataFrame) -> None:
     """Delete the files behind a frame that ``materialize`` returned."""
     jvm = df.sparkSession._jvm
