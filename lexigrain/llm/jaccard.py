@@ -33,7 +33,7 @@ from lexigrain.llm.components import components
 from lexigrain.storage import materialize
 
 #: Bytes of text of a block of documents, and tokens of a bucket of hashes, about.
-BLOCK_BYTES, BUCKET_TOKENS = 8 << 20, 2_000_000
+BLOCK_BYTES, BUCKET_TOKENS = 4 << 20, 1_000_000
 #: Ids up to which the copies of texts are sent to every executor; beyond it they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Cost of verifying a candidate, in postings written.
@@ -43,7 +43,7 @@ _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111E
 
 class _Words(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
@@ -112,9 +112,14 @@ def document_frequencies(blocks: DataFrame, size: int, buckets: int, width: int,
             planes = np.zeros((len(n), 8), np.uint8)
             planes[:, :width] = np.frombuffer(x.as_py(), np.uint8).reshape(width, len(n)).T
             tokens.append(planes.reshape(-1).view(">u8").astype(np.uint64))
-        every, where = np.unique(np.concatenate(tokens), return_inverse=True)
-        total = np.bincount(where, weights=np.concatenate(ns).astype(float), minlength=len(every))
-        df = np.minimum(total[where], 255).astype(np.uint8)
+        token, n = np.concatenate(tokens), np.concatenate(ns)
+        tokens.clear()
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        total = np.minimum(np.add.reduceat(n[order].astype(np.uint32), begin), 255).astype(np.uint8)
+        df = np.empty(len(n), np.uint8)
+        df[order] = np.repeat(total, np.diff(np.append(begin, len(n))))
         ends = np.cumsum([len(n) for n in ns])
         return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "df": pa.array([df[e - len(n) : e].tobytes() for e, n in zip(ends, ns, strict=True)], pa.binary())})
 
@@ -128,45 +133,43 @@ def _need(n: int, percent: int) -> int:
 
 
 def prefixes(blocks: DataFrame, frequencies: DataFrame, size: int, percent: int, split=split_words) -> DataFrame:
-    """One row per class: node, n (set size), tokens (shared ones among the first n - need + 1), extra (the next token, if shared), members (the whole set, where anything is shared)."""
+    """One row per class: node, n (set size), tokens (the shared ones among the first n - need + 2, in corpus order), places (where they stand in the set's order, from 0), members (the whole set, where anything is shared)."""
 
     def run(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
         nodes, sets = _block(rows, size, split)
         every = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]))
         parts = sorted(zip(counts.column("bucket").to_pylist(), counts.column("df").to_pylist(), strict=True))
         df = np.frombuffer(b"".join(x[1] for x in parts), np.uint8)
-        out: dict[str, list] = {"node": nodes, "n": [len(s) for s in sets], "tokens": [], "extra": [], "members": []}
+        out: dict[str, list] = {"node": nodes, "n": [len(s) for s in sets], "tokens": [], "places": [], "members": []}
         for s in sets:
             n = len(s)
-            first = n - _need(n, percent) + 1 if n else 0
             own = df[np.searchsorted(every, s)] if n else df[:0]
-            order = np.lexsort((s, own))[: first + 1]
-            shared = own[order] > 1
-            tokens = s[order][:first][shared[:first]].astype(np.int64)
-            extra = int(s[order[first]].astype(np.int64)) if len(order) > first and shared[first] else None
-            filed = len(tokens) > 0
-            out["tokens"].append(tokens if filed else None)
-            out["extra"].append(extra)
+            order = np.lexsort((s, own))[: n - _need(n, percent) + 2]
+            places = np.flatnonzero(own[order] > 1)
+            filed = n > 0 and len(places) and places[0] <= n - _need(n, percent)
+            out["tokens"].append(s[order[places]].astype(np.int64) if filed else None)
+            out["places"].append(places.astype(np.int32) if filed else None)
             out["members"].append(s.astype(np.int64) if filed else None)
-        kinds = {"node": pa.int64(), "n": pa.int32(), "tokens": pa.list_(pa.int64()), "extra": pa.int64(), "members": pa.list_(pa.int64())}
+        kinds = {"node": pa.int64(), "n": pa.int32(), "tokens": pa.list_(pa.int64()), "places": pa.list_(pa.int32()), "members": pa.list_(pa.int64())}
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    return blocks.groupBy("block").cogroup(frequencies.groupBy("block")).applyInArrow(run, "node long, n int, tokens array<long>, extra long, members array<long>")
+    return blocks.groupBy("block").cogroup(frequencies.groupBy("block")).applyInArrow(run, "node long, n int, tokens array<long>, places array<int>, members array<long>")
 
 
 def boundary(filed: DataFrame, percent: int) -> int:
     """Set size up to which subsets are enumerated, by cost.
 
     For each size the postings of subsets are weighed against those of single
-    tokens plus what scanning their lists makes to verify; the sum over sizes is
-    least at the boundary.  Reads one row per size and one list statistic.
+    tokens plus the candidate that scanning a list with its hub makes of each;
+    subsets hardly ever meet by chance.  The sum over sizes is least at the
+    boundary.  Reads one row per size and one list statistic.
     """
     lists = filed.select(F.explode("tokens").alias("t")).groupBy("t").count().agg(F.sum(F.col("count") * F.col("count")).alias("sq"), F.sum("count").alias("n")).first()
     if not lists.n:
         return 0
-    met = lists.sq / lists.n - 1  # others that a posting meets in its list
+    met = min(1.0, lists.sq / lists.n - 1)  # share of postings that meet another than themselves
     k = F.size("tokens").cast("double")
-    sizes = filed.groupBy("n").agg(F.sum(k).alias("single"), F.sum(k * (k + 1) / 2).alias("pairs")).orderBy("n").collect()
+    sizes = filed.groupBy("n").agg(F.sum(k).alias("single"), F.sum(k * (k - 1) / 2).alias("pairs")).orderBy("n").collect()
     cost_small, best, at = 0.0, math.inf, 0
     # Sets within reach of the boundary are filed both ways.
     single = {r.n: r.single * (1 + CANDIDATE_COST * met) for r in sizes}
@@ -185,20 +188,31 @@ def boundary(filed: DataFrame, percent: int) -> int:
 
 
 def postings(filed: DataFrame, limit: int, percent: int) -> DataFrame:
-    """(key, node, n, k): keys of token pairs for sets up to ``limit``, of single tokens for larger ones and those that may link with a larger one; k is the number of shared tokens."""
+    """(key, l, at, node, n, k): keys of token pairs (l = 2) for sets up to ``limit``, of single tokens (l = 1) for larger ones and those that may link with a larger one.
+
+    at: place of the last of the key's tokens in the set's order; k: number of shared tokens.
+    """
     need = F.ceil(F.col("n") * percent / 100.0)
-    wide = F.when(F.col("extra").isNotNull(), F.concat("tokens", F.array("extra"))).otherwise(F.col("tokens"))
-    pairs = F.flatten(F.transform(F.col("wide"), lambda x, i: F.transform(F.slice("wide", i + 2, F.size("wide")), lambda y: F.xxhash64(x, y, F.lit(2)))))
+    both = F.arrays_zip("tokens", "places")
+    key = lambda k, at, length: F.struct(k.alias("key"), at.alias("at"), F.lit(length).alias("l"))
+    pairs = F.flatten(F.transform("both", lambda x, i: F.transform(F.slice("both", i + 2, F.size("both")), lambda y: key(F.xxhash64(x.tokens, y.tokens), y.places, 2))))
+    single = F.transform(F.filter("both", lambda x: x.places <= F.col("n") - need), lambda x: key(x.tokens, x.places, 1))
+    none = F.array().cast("array<struct<key:bigint,at:int,l:int>>")
     small = (F.col("n") <= limit) & (need >= 2)
-    single = (F.col("n") * 100 >= percent * (limit + 1)) | (need < 2)
-    none = F.array().cast("array<long>")
-    rows = filed.withColumn("wide", F.array_sort(wide))
-    keys = F.concat(F.when(small, pairs).otherwise(none), F.when(single, F.col("tokens")).otherwise(none))
-    return rows.select(F.explode(keys).alias("key"), "node", "n", F.size("tokens").alias("k"))
+    large = (F.col("n") * 100 >= percent * (limit + 1)) | (need < 2)
+    keys = F.concat(F.when(small, pairs).otherwise(none), F.when(large, single).otherwise(none))
+    return filed.withColumn("both", both).select("node", "n", F.size("tokens").alias("k"), F.inline(keys)).select("key", "l", "at", "node", "n", "k")
 
 
-def _close(a: Column, b: Column, percent: int) -> Column:
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+def _may_link(n_a: Column, at_a: Column, n_b: Column, at_b: Column, length: Column, percent: int) -> Column:
+    """Whether sets of these sizes can link by a key of ``length`` tokens that ends at these places.
+
+    The overlap they need leaves so many tokens over in each: if the key's
+    tokens are the first that they share, no more can stand before them.
+    """
+    near = (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
+    need = (n_a + n_b) * percent
+    return near & (need <= (n_a + length - 1 - at_a) * (100 + percent)) & (need <= (n_b + length - 1 - at_b) * (100 + percent))
 
 
 def verified(pairs: DataFrame, filed: DataFrame, percent: int) -> DataFrame:
@@ -270,17 +284,27 @@ def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def link(filed: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that give the same components as all links between the filed sets."""
     posts = materialize(postings(filed, boundary(filed, percent), percent), "postings")
-    hubs = posts.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("k", (-F.col("node")).alias("x"), "n")).alias("hub")).filter("m > 1")
-    hubs = materialize(hubs.select("key", (-F.col("hub.x")).alias("hub"), F.col("hub.n").alias("n_hub")), "hubs")
-    lists = materialize(posts.join(hubs, "key"), "lists")
-    star = lists.filter((F.col("node") != F.col("hub")) & _close(F.col("n"), F.col("n_hub"), percent)).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-    edges = materialize(verified(star, filed, percent), "star")
+    hub = F.struct("k", (-F.col("node")).alias("x"), "n", "at")
+    hubs = posts.groupBy("key", "l").agg(F.count("*").alias("m"), F.max(hub).alias("hub")).filter("m > 1")
+    hubs = hubs.select("key", "l", (-F.col("hub.x")).alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.at").alias("at_hub"))
+    lists = materialize(posts.join(hubs, ["key", "l"]), "lists")
+    may = _may_link(F.col("n"), F.col("at"), F.col("n_hub"), F.col("at_hub"), F.col("l"), percent)
+    star = lists.filter((F.col("node") != F.col("hub")) & may).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    star = materialize(star, "star")
+    edges = materialize(verified(star, filed, percent), "links")
     near = components(edges)
     # What the hubs have not joined: lists whose members are still apart.
-    now = lists.join(near, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    apart = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_lists = materialize(now.join(apart, "key"), "open")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    rest = x.join(y, "key").filter((F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _close(F.col("x.n"), F.col("y.n"), percent))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    now = lists.join(near, "node", "left").select("key", "l", "at", "node", "n", F.coalesce("component", "node").alias("component"))
+    # Of two that link the smaller set has the key among the tokens that it may miss from one of its own size, and no set is matched beyond the size that its place allows.
+    early = 2 * F.col("n") * percent <= (F.col("n") + F.col("l") - 1 - F.col("at")) * (100 + percent)
+    most = F.floor((F.col("n") + F.col("l") - 1 - F.col("at")) * (100 + percent) / F.lit(float(percent))) - F.col("n")
+    now = now.withColumn("early", early).withColumn("most", most)
+    apart = now.groupBy("key", "l").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("early"), F.col("n"))).alias("least_n")).filter("lo <> hi and least_n is not null")
+    open_lists = now.join(apart.select("key", "l", "least_n"), ["key", "l"]).filter("early or most >= least_n").drop("least_n", "most")
+    open_lists = materialize(open_lists, "open")
+    x, y = open_lists.filter("early").alias("x"), open_lists.alias("y")
+    may = _may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), F.col("x.l"), percent)
+    once = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.l") == F.col("y.l")) & (F.col("x.component") != F.col("y.component")) & once & may)
+    rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     return edges.union(verified(rest, filed, percent))
