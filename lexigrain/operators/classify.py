@@ -19,7 +19,7 @@ from lexigrain.schema import CLASSIFICATION_SCHEMA
 # What the rules look for.
 _MOVE = rf"(?i)\*\*when{WS}+([^*]+?)\*\*"
 _TABLE_ROW = rf"(?m)^{WS}*\|.*\|{WS}*$"
-_STAT_LINE = r"(?i)\b(hp|hit points|armor|ac|attack)\b[^\n]*\d"
+_STAT_LINE = r"(?i)(?<![A-Za-z0-9_])(hp|hit points|armor|ac|attack)(?![A-Za-z0-9_])[^\n]*[0-9]"
 _TABLE_HEADING = "tables?|oracle|random"
 _BESTIARY_HEADING = "bestiary|stat ?block|npcs?|monsters?"
 _LORE_HEADING = "world|geography|history|cult|faction|lore"
