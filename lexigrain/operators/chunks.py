@@ -114,8 +114,7 @@ def pack_lines(text: Column, max_tokens: int) -> Column:
 
             def piece(s: Column, k: Column) -> Column:
                 unit = F.element_at(units, s)
-                tokens = ws_tokens(unit.text)
-                windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), F.lit(max_tokens)), lambda j: F.array_join(F.slice(tokens, j, max_tokens), " "))
+                windows = _let(ws_tokens(unit.text), lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)), F.lit(max_tokens)), lambda j: F.array_join(F.slice(t, j, max_tokens), " ")))
                 whole = F.array(strip(F.array_join(F.transform(F.slice(units, s, k), lambda u: u.text), "\n")))
                 return F.when(wide(unit, token_count(unit.text)), windows).otherwise(whole)
 

@@ -43,6 +43,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between executor and Python worker, about.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES: rows are whole texts here, and ten thousand of them are too many at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "67108864b").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def drop_finished(spark: SparkSession) -> None:
     """Let Spark drop shuffle files and broadcasts of finished plans, which it does when the driver collects garbage; every few seconds at most."""
     global _collected
