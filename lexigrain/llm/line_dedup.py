@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrain.storage import materialize
+from lexigrain.storage import materialize, release
 
 #: Words that a repeated run needs, a blank line counting as one.
 MIN_WORDS = 50
@@ -69,7 +69,11 @@ def suffix_ranks(segments: DataFrame, levels: int) -> DataFrame:
         before = Window.partitionBy("b", r).orderBy(F.col("nxt").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
         pairs = pairs.select(F.col("b").alias("pb"), F.col(r).alias("pr"), F.col("nxt").alias("pn"), (F.col(r) + F.coalesce(F.sum("count").over(before), F.lit(0))).alias(f"r{h + 1}"))
         match = (F.col("b") == F.col("pb")) & (F.col(r) == F.col("pr")) & F.col("nxt").eqNullSafe(F.col("pn"))
-        now = placed.join(pairs, match).drop("pb", "pr", "pn", "nxt")
+        # A plan that used its input twice in every round would double with each.
+        refined = materialize(placed.join(pairs, match).drop("pb", "pr", "pn", "nxt"), "ranks")
+        if h:
+            release(now)
+        now = refined
     return now
 
 
@@ -134,7 +138,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     firsts = table.join(copies.select("row"), "row", "left_anti")
     lines = firsts.select("row", "id", F.posexplode("lines").alias("pos", "line")).select("row", "id", "pos", F.col("line.b").alias("b"), F.col("line.w").alias("w"))
     levels = levels_for(min_words)
-    ranked = materialize(suffix_ranks(repeated_segments(lines), levels), "ranks")
+    ranked = suffix_ranks(materialize(repeated_segments(lines), "segments"), levels)
     gone = repeated_lines(ranked, levels, min_words).groupBy("row").agg(F.collect_list("pos").alias("gone"))
     sizes = firsts.select("row", F.size("lines").alias("n_lines"))
     whole = copies.filter(F.col("words") >= min_words).select("row", "n_lines", F.lit(None).cast("array<int>").alias("gone"))
