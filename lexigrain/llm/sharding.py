@@ -36,11 +36,12 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def with_slots(df: DataFrame, shard: str = "shard", order: Sequence[str] = (), slot: str = "slot") -> DataFrame:
-    """Add ``slot``: the row's place in its shard, from 0 without gaps, in the order of its cell and then of ``order``.
+    """Add ``slot``: the row's place in its shard, from 0 without gaps, in the order of its cell and then of ``order``, all columns if not given.
 
     Equal rows take neighbouring slots in any order.  The extra columns of
     ``df`` are kept; names it must not have: ``__cell``, ``__at``, ``__from``.
     """
+    order = list(order) or [c for c in df.columns if c not in (shard, slot)]
     cells = max(1, min(MAX_CELLS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     placed = df.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
     counts = placed.groupBy(shard, "__cell").count()
