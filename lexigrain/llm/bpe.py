@@ -29,8 +29,12 @@ from tokenizers import Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrain.storage import bound_batches
+
 #: Words kept encoded per worker; when full the cache starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 350_000
+#: Token pairs remembered as compatible or not.
+CACHE_SEAMS = 250_000
 #: Characters of text whose distinct words go into one trie.
 GROUP_CHARS = 1_000_000
 
@@ -60,15 +64,15 @@ class MergeTable:
             if self.rank[whole] < 0:
                 self.rank[whole] = r
                 self.parts[whole] = (left, right)
-        self._seams: dict[tuple[int, int], bool] = {}
+        self._seams: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether encoding the two tokens' joined text gives back the two tokens."""
-        key = (left, right)
+        key = left << 32 | right
         known = self._seams.get(key)
         if known is None:
-            if len(self._seams) > 2_000_000:
+            if len(self._seams) > CACHE_SEAMS:
                 self._seams.clear()
             known = self._seams[key] = self._seam_holds(left, right)
         return known
@@ -205,8 +209,17 @@ class WordTokenizer:
         self.byte_of = {c: b for b, c in enumerate(self.bytes)}
         # Code points whose classes differ between Unicode versions: there the library's own splitter decides.
         self.rare = regex.compile(r"[^\x00-\u024F\u2010-\u203F]").search
-        self.library = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.path, self._library = path, None
+        # Ids of a word as one string, and the token texts by id as a string.
+        self.cache: dict[str, str] = {}
+        self.shown = {str(i): t for i, t in self.table.names.items()} | {str(i): t for t, i in self.special.items()}
+
+    @property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, loaded when first needed."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
 
     def words(self, text: str) -> list[str]:
         """Words of one stretch of text, after normalisation."""
@@ -231,26 +244,25 @@ class WordTokenizer:
         if len(self.cache) + len(words) > CACHE_WORDS:
             self.cache.clear()
         for s, i in self.special.items():
-            self.cache[s] = (1, str(i), s)
+            self.cache[s] = str(i)
         new = words.difference(self.cache)
         raw = {w: w if w.isascii() and w.isprintable() else "".join(map(self.bytes.__getitem__, w.encode())) for w in new}
-        codes, names = self.encoder.encode(set(raw.values())), self.table.names
+        codes = self.encoder.encode(set(raw.values()))
         for w, r in raw.items():
-            ids = codes[r]
-            self.cache[w] = (len(ids), " ".join(map(str, ids)), " ".join(names[i] for i in ids))
+            self.cache[w] = " ".join(map(str, codes[r]))
 
     def encode_all(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Count, ids joined by spaces, and decoded text of each text."""
         split = [self.split(t) for t in texts]
         self.learn(set().union(*split) if split else set())
         for words in split:
-            own = [self.cache[w] for w in words]
-            yield sum([e[0] for e in own]), " ".join([e[1] for e in own]), " ".join([e[2] for e in own])
+            ids = " ".join(map(self.cache.__getitem__, words))
+            each = ids.split()
+            yield len(each), ids, " ".join(map(self.shown.__getitem__, each))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids: this kind of file names no decoder, so tokens are joined by one space; unknown ids give nothing."""
-        special = {i: s for s, i in self.special.items()}
-        return " ".join(x for x in (self.table.names.get(i, special.get(i)) for i in ids) if x is not None)
+        return " ".join(self.shown[str(i)] for i in ids if str(i) in self.shown)
 
 
 _loaded: dict[str, WordTokenizer] = {}
@@ -282,23 +294,27 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     Null and empty texts have no tokens; repeated rows are kept; other columns
     are not read.  A narrow map: no shuffle, whatever the sizes.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = [f"{id_col} {kind}", "n_tokens long", *["token_ids array<int>"] * ids, *(["ids_sha256 string", "decoded_sha256 string"] if digests else ["decoded string"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         gc.disable()  # tries hold no cycles; looking for them costs a third of the time
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                out: list[list] = [[] for _ in fields[1:]]
-                for group in groups([t or "" for t in part.column(1).to_pylist()]):
-                    for n, codes, text in tok.encode_all(group):
-                        row = [n, *([np.array(codes.split(), np.int32)] if ids else ()), *(map(_sha256, (codes, text)) if digests else (text,))]
-                        for column, x in zip(out, row, strict=True):
-                            column.append(x)
-                arrays = [pa.array(x, _ARROW[f.split()[-1]]) for f, x in zip(fields[1:], out, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[f.rpartition(" ")[0] for f in fields])
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    out: list[list] = [[] for _ in fields[1:]]
+                    for group in groups([t or "" for t in part.column(1).to_pylist()]):
+                        for n, codes, text in tok.encode_all(group):
+                            row = [n, *([np.array(codes.split(), np.int32)] if ids else ()), *(map(_sha256, (codes, text)) if digests else (text,))]
+                            for column, x in zip(out, row, strict=True):
+                                column.append(x)
+                    arrays = [pa.array(x, _ARROW[f.split()[-1]]) for f, x in zip(fields[1:], out, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[f.rpartition(" ")[0] for f in fields])
+        finally:
+            gc.enable()
 
     named = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     return named.mapInArrow(run, ", ".join(f"`{f.rpartition(' ')[0]}` {f.rpartition(' ')[2]}" for f in fields))

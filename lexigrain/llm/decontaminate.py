@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.jaccard import without_rows
+from lexigrain.storage import bound_batches
 
 #: Consecutive item words that make a window.
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one pass sends to the executors.
 BLOCK_BYTES = 16 << 20
 #: Words of a shard of the index, about.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 150_000
 
 # Lower-cases A-Z; turns ASCII that is neither a letter nor a digit into spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -158,6 +159,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     empty texts have no words; repeated rows are kept; an empty benchmark hits
     nothing; items with null ids count as "None".
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     passes = []

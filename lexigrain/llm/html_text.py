@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrain.storage import bound_batches
+
 # Elements whose content is never text, that are boilerplate, that hold the article, and that end a block.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas select option datalist textarea button head title".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
@@ -175,6 +177,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``keep`` columns with the page's main text and ``n_chars``, its code points; one row per row, no shuffle."""
+    bound_batches(pages.sparkSession)
     fields = [pages.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

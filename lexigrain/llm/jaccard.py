@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.components import components
-from lexigrain.storage import materialize
+from lexigrain.storage import bound_batches, materialize
 
 #: Bytes of text of a block of documents, and tokens of a bucket of hashes, about.
 BLOCK_BYTES, BUCKET_TOKENS = 4 << 20, 1_000_000
@@ -240,6 +240,7 @@ def component_rows(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     first, and a component of theirs has a null id.  ``docs`` must be a scan,
     which numbers its rows alike each time; extra columns are not read.
     """
+    bound_batches(docs.sparkSession)
     rows, classes = text_classes(docs, id_col, text_col)
     total = classes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     blocks_n = max(1, math.ceil(total.bytes / BLOCK_BYTES))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.html_text import STOP_WORDS
 from lexigrain.llm.labelled import MAX_FIT_ROWS, training_rows
-from lexigrain.storage import materialize, release
+from lexigrain.storage import bound_batches, materialize, release
 
 FEATURES = 256
 RIDGE = 1e-2
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows: i
     Without any labelled row, or with one class only, every score is that
     class's share (one half without rows).
     """
+    bound_batches(docs.sparkSession)
     held_apart = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(4)) == 0
     sample = materialize(_statistics_of(training_rows(docs, labels, target, max_rows=max_rows)).select("x", "label", held_apart.alias("apart")), "quality-sample")
     dim = len(statistics(None))
@@ -166,6 +167,7 @@ def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with every column it has and the score of its whole text; no shuffle. An older ``score_col`` is replaced."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(score_col)
     at = docs.columns.index(text_col)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.bpe import MergeTable, byte_chars
+from lexigrain.storage import bound_batches
 
 #: Compiled states per worker; when full, compilation starts anew.
 MAX_STATES = 350_000
@@ -230,6 +231,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     in as many rows, so one huge text is spread over tasks; only chunk maps
     meet again, by row.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # The row number is kept from the scan on: every chunk of a row gets it in the same task.
@@ -243,13 +245,16 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         gc.disable()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                whole = part.column(5).to_pylist()
-                found = [("", machine.count(c), None) if w else machine.chunk_map(c) for c, w in zip(part.column(4).to_pylist(), whole, strict=True)]
-                head, n, tail = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(head, pa.string()), pa.array(n, pa.int64()), pa.array(tail, pa.string()), part.column(5)], names=["id", "row", "n_bytes", "k", "head", "n", "tail", "whole"])
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    whole = part.column(5).to_pylist()
+                    found = [("", machine.count(c), None) if w else machine.chunk_map(c) for c, w in zip(part.column(4).to_pylist(), whole, strict=True)]
+                    head, n, tail = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(head, pa.string()), pa.array(n, pa.int64()), pa.array(tail, pa.string()), part.column(5)], names=["id", "row", "n_bytes", "k", "head", "n", "tail", "whole"])
+        finally:
+            gc.enable()
 
     mapped = chunks.mapInArrow(maps, f"id {kind}, row long, n_bytes long, k int, head string, n long, tail string, whole boolean")
     pieces = F.collect_list(F.when(~F.col("whole"), F.struct("k", "head", "n", "tail")))

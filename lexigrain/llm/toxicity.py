@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.labelled import MAX_FIT_ROWS, training_rows
-from lexigrain.storage import materialize, release
+from lexigrain.storage import bound_batches, materialize, release
 
 # What a disguising character may stand for.
 LEET = {
@@ -211,6 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
 
     Without labelled rows nothing is toxic: every score is 0.
     """
+    bound_batches(docs.sparkSession)
     counts = trigram_counts(docs)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     sample = training_rows(docs, labels, target, max_rows=max_rows)
@@ -285,6 +286,7 @@ def choose(texts: list[set[str]], stats: dict[str, tuple[int, int]]) -> list[str
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: the id and its score from 0 to 1; null and empty texts score the base rate. No shuffle."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
