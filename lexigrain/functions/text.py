@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 WS = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 #: Any character but a line terminator of ECMAScript.
 DOT = r"[^\n\r\u2028\u2029]"
-_ENDS = f"^{WS}+|{WS}+\\z"
+#: The same characters, each once.
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _MARKER = "<!-- page ([0-9]+) -->"
 
 
@@ -23,7 +24,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(_col(c), _ENDS, "")
+    return F.trim(_col(c), F.lit(WS_CHARS))
 
 
 def ws_tokens(c: Column | str) -> Column:

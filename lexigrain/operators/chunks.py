@@ -31,7 +31,7 @@ def _indices(n: Column) -> Column:
 
 def _spans(starts: Column, n: Column, f: Callable[[Column, Column], Column]) -> Column:
     """f(start, length) of the stretches of 1 to n that begin at ``starts``."""
-    return F.transform(starts, lambda s, j: f(s, F.coalesce(F.get(starts, j + 1), n + 1) - s))
+    return _let(starts, lambda bound: F.transform(bound, lambda s, j: f(s, F.coalesce(F.get(bound, j + 1), n + 1) - s)))
 
 
 def sections(text: Column) -> Column:
@@ -68,7 +68,7 @@ def merge_small(found: Column, min_tokens: int) -> Column:
 
     def build(found: Column) -> Column:
         counts = F.transform(found, lambda s: token_count(s.text))
-        starts = F.filter(_indices(F.size(found)), lambda i: (i == 1) | (F.get(counts, i - 2) >= min_tokens))
+        starts = _let(counts, lambda c: F.filter(_indices(F.size(found)), lambda i: (i == 1) | (F.get(c, i - 2) >= min_tokens)))
         texts = F.transform(found, lambda s: s.text)
         return _spans(starts, F.size(found), lambda s, k: F.struct(F.element_at(found, s).heading_path.alias("heading_path"), F.array_join(F.slice(texts, s, k), "\n\n").alias("text")))
 
@@ -94,7 +94,7 @@ def greedy_pack(units: Column, max_tokens: int) -> Column:
     def build(units: Column) -> Column:
         counts = F.transform(units, token_count)
         starts = _starts(counts, max_tokens, lambda i, n: n > max_tokens)
-        return _let(starts, lambda s: _spans(s, F.size(units), lambda at, k: F.array_join(F.slice(units, at, k), " ")))
+        return _spans(starts, F.size(units), lambda at, k: F.array_join(F.slice(units, at, k), " "))
 
     return _let(F.filter(F.transform(units, strip), lambda u: u != ""), build)
 
@@ -103,9 +103,11 @@ def pack_lines(text: Column, max_tokens: int) -> Column:
     """Lines packed into pieces; runs of lines that begin with a pipe are one unit and never split, other long lines are cut into windows of ``max_tokens``."""
 
     def build(lines: Column) -> Column:
-        table = F.transform(lines, lambda x: F.regexp_replace(x, f"^{WS}+", "").startswith("|"))
-        first = F.filter(_indices(F.size(lines)), lambda i: ~F.get(table, i - 1) | (i == 1) | ~F.coalesce(F.get(table, i - 2), F.lit(False)))
-        units = _spans(first, F.size(lines), lambda s, k: F.struct(F.array_join(F.slice(lines, s, k), "\n").alias("text"), F.get(table, s - 1).alias("table")))
+        def group(table: Column) -> Column:
+            first = F.filter(_indices(F.size(lines)), lambda i: ~F.get(table, i - 1) | (i == 1) | ~F.coalesce(F.get(table, i - 2), F.lit(False)))
+            return _spans(first, F.size(lines), lambda s, k: F.struct(F.array_join(F.slice(lines, s, k), "\n").alias("text"), F.get(table, s - 1).alias("table")))
+
+        units = _let(F.transform(lines, lambda x: F.regexp_replace(x, f"^{WS}+", "").startswith("|")), group)
 
         def pack(units: Column) -> Column:
             counts = F.transform(units, lambda u: token_count(u.text))
@@ -118,7 +120,7 @@ def pack_lines(text: Column, max_tokens: int) -> Column:
                 whole = F.array(strip(F.array_join(F.transform(F.slice(units, s, k), lambda u: u.text), "\n")))
                 return F.when(wide(unit, token_count(unit.text)), windows).otherwise(whole)
 
-            return _let(starts, lambda s: F.flatten(_spans(s, F.size(units), piece)))
+            return F.flatten(_spans(starts, F.size(units), piece))
 
         return _let(units, pack)
 
