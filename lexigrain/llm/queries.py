@@ -53,6 +53,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted,
 FROM d GROUP BY doc_id
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, ws[k + 1 : k + 10] AS win, least(len(ws), 10) AS n FROM (SELECT item_id, ws, unnest(range(greatest(1, len(ws) - 9))) AS k FROM i WHERE len(ws) > 0)),
+p AS (SELECT doc_id, ws, unnest(range(len(ws))) AS k FROM d),
+h AS (SELECT doc_id, k, item_id, n FROM (SELECT DISTINCT n FROM w) JOIN p ON k + n <= len(ws) JOIN w USING (n) WHERE ws[k + 1 : k + n] = win),
+m AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM h) GROUP BY doc_id),
+f AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k + 1 : k + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(greatest(1, len(ws) - 3))) AS k FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)
+"""
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
@@ -151,4 +174,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op3_line_dedup": OP3_SQL, "op9_top_k": OP9_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_top_k": OP9_SQL, "op10_jaccard_join": OP10_SQL}
