@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 # Workers import the library, and functions that tests define.
-os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent), str(Path(__file__).parent.parent), str(Path(__file__).parent / "llm"), os.environ.get("PYTHONPATH", "")])
+os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent), str(Path(__file__).parent.parent), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
