@@ -34,6 +34,9 @@ from lexigrain.storage import bound_batches, materialize
 
 #: Bytes of text of a block of documents, and tokens of a bucket of hashes, about.
 BLOCK_BYTES, BUCKET_TOKENS = 4 << 20, 1_000_000
+#: Slices (blocks times buckets) up to which frequencies go through packed slices; beyond it, where slices would be
+#: tiny, through rows.
+MAX_SLICES = 1 << 26
 #: Ids up to which the copies of texts are sent to every executor; beyond it they are joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Cost of verifying a candidate, in postings written.
@@ -156,6 +159,30 @@ def prefixes(blocks: DataFrame, frequencies: DataFrame, size: int, percent: int,
     return blocks.groupBy("block").cogroup(frequencies.groupBy("block")).applyInArrow(run, "node long, n int, tokens array<long>, places array<int>, members array<long>")
 
 
+def prefixes_by_rows(texts: DataFrame, size: int, percent: int, split=split_words) -> DataFrame:
+    """What ``prefixes`` gives, for inputs of any size: tokens are rows, counted and joined back by shuffle.
+
+    Linear in the tokens, and several times dearer than slices.  Only shared
+    tokens come back; a set's other tokens stand before them in its order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size, split).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "members"])
+
+    sets = materialize(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, n int, members array<long>"), "members")
+    rows = sets.select("node", F.explode("members").alias("token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # One row per set and shared token; a set is one text's, so its list is bounded by it.
+    own = rows.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    need = F.ceil(F.col("n") * percent / 100.0).cast("int")
+    early = F.filter(F.transform("own", lambda x, i: F.struct(x.token.alias("token"), (F.col("n") - F.size("own") + i).cast("int").alias("place"))), lambda x: x.place <= F.col("n") - need + 1)
+    found = sets.join(own, "node", "left").withColumn("early", early)
+    filed = F.coalesce((F.size("early") > 0) & (F.get("early", 0)["place"] <= F.col("n") - need), F.lit(False))
+    return found.select("node", "n", F.when(filed, F.transform("early", lambda x: x.token)).alias("tokens"), F.when(filed, F.transform("early", lambda x: x.place)).alias("places"), F.when(filed, F.col("members")).alias("members"))
+
+
 def boundary(filed: DataFrame, percent: int) -> int:
     """Set size up to which subsets are enumerated, by cost.
 
@@ -253,7 +280,11 @@ def component_rows(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("text")).join(kept, "row")
     blocks = texts.select(F.pmod(F.xxhash64("node"), F.lit(blocks_n)).cast("int").alias("block"), "node", "text")
-    sets = materialize(prefixes(blocks, document_frequencies(blocks, size, buckets, width, split), size, percent, split), "sets")
+    if blocks_n * buckets <= MAX_SLICES:
+        sets = prefixes(blocks, document_frequencies(blocks, size, buckets, width, split), size, percent, split)
+    else:
+        sets = prefixes_by_rows(texts, size, percent, split)
+    sets = materialize(sets, "sets")
     found = components(link(sets.filter("tokens IS NOT NULL"), percent))
     least = found.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("head"))
     of_node = found.join(least, "component").select("node", "head")

@@ -96,8 +96,11 @@ def test_jaccard_every_boundary(spark, tmp_path, monkeypatch):
     base = " ".join(f"w{i}" for i in range(40))
     rows = [(i, mutated(rng, base, rng.randint(0, 3))) for i in range(60)]
     df = saved(spark, tmp_path, rows, "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "MAX_BROADCAST_IDS", 0)
     want = brute.components(rows, 4, 85)
+    monkeypatch.setattr(jaccard, "MAX_SLICES", 0)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.component_ids(df, 4, 85).collect()} == want
+    monkeypatch.setattr(jaccard, "MAX_SLICES", 1 << 26)
+    monkeypatch.setattr(jaccard, "MAX_BROADCAST_IDS", 0)
     for limit in (0, 36, 37, 10_000):
         monkeypatch.setattr(jaccard, "boundary", lambda filed, percent, limit=limit: limit)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.component_ids(df, 4, 85).collect()} == want
