@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 _collected = 0.0
 
 
@@ -38,6 +39,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     drop_finished(spark)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,8 +68,16 @@ def drop_finished(spark: SparkSession) -> None:
 
 def release(df: DataFrame) -> None:
     """Delete the files behind a frame that ``materialize`` returned."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, f.rpartition("/")[0])
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete every table that ``materialize`` has written for this application; frames that read them end here."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
