@@ -27,9 +27,9 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Words in class, id and role that mark boilerplate.
+# Words in class, id and role that mark boilerplate, but for those that say what an element has beside it.
 HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|breadcrumbs?|footer|masthead|site-?header|comments?|replies|reply|disqus|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|login|signup|search|toolbar|widget|pagination|pager|copyright|legal|disclaimer|contentinfo|complementary|navigation)(?:$|[\s_-])",
+    r"(?:^|\s|(?<!\bhas)(?<!\bwith)(?<!\bno)[_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav\w*|breadcrumbs?|footer|masthead|site-?header|comments?|replies|reply|disqus|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|login|signup|search|toolbar|widget|pagination|pager|copyright|legal|disclaimer|contentinfo|complementary|navigation)(?:$|[\s_-])",
     re.I,
 )
 # Frequent words of English, French, German and Spanish.

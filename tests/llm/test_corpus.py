@@ -183,6 +183,7 @@ def test_top_k(spark):
         ("<p>Only short", "Only short"),
         ("<div class=sidebar><p>This is a long text of the kind that is in the way of the reader, and it is not for the article at all.</p></div><p>It was the best of times, it was the worst of times.</p>", "It was the best of times, it was the worst of times."),
         ("<form><p>The name of the user and the rest of it, which is to be put in here</p></form><p>The article is in here and it has to be found.</p><p>Yes.</p><div id='comments'><p>I think that this is the best of all.</p></div>", "The article is in here and it has to be found.\nYes."),
+        ("<div class='post has-sidebar'><p>It was the best of times, and it was the worst of times for all of us.</p></div><div class='post-comments'><p>That is what it was, and it is of no use to me.</p></div>", "It was the best of times, and it was the worst of times for all of us."),
         ("<article><p>a < b &lt;c&gt; &#233;&nbsp;x</p><p title='a>b'>q</article>", "a < b <c> é x\nq"),
     ],
 )
