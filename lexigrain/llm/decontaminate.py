@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.jaccard import without_rows
-from lexigrain.storage import bound_batches
+from lexigrain.storage import ROW, bound_batches, numbered
 
 #: Consecutive item words that make a window.
 WINDOW = 10
@@ -151,7 +151,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, span: int | None = None, rows: bool = False) -> DataFrame:
-    """One row per document row: ``id_col`` (with ``rows``, before it row, its number in ``docs``), n_words, hits (array of hit word positions), items (sorted array of item ids as strings).
+    """One row per document row: ``id_col`` (with ``rows``, before it row, its number in ``docs``, a ``numbered`` table), n_words, hits (array of hit word positions), items (sorted array of item ids as strings).
 
     A word is hit inside any occurrence of a window of the benchmark.  With
     ``span`` windows match by proximity instead: their terms in any order, each
@@ -161,12 +161,17 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    passes = []
+    blocks = []
     for items in _blocks(benchmark, item_col, item_text_col):
         phrases = Phrases.of(items, window)
-        windows, owners = phrases.arrays()
-        sent = docs.sparkSession.sparkContext.broadcast((phrases.terms, windows, owners))
+        blocks.append(docs.sparkSession.sparkContext.broadcast((phrases.terms, *phrases.arrays())))
+    # More than one pass is more than one scan, and what they find of a row is put together by its number.
+    if not rows and len(blocks) > 1:
+        docs = numbered(docs.select(id_col, text_col))
+    row = F.col(ROW) if rows or len(blocks) > 1 else F.lit(0).cast("long")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
+    passes = []
+    for sent in blocks:
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             terms, windows, owners = sent.value
@@ -235,6 +240,7 @@ def items_digest(items: Sequence[str]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.0, **how) -> DataFrame:
-    """The rows of ``docs``, a scan, all columns, whose share of hit words is at most ``max_share``."""
+    """The rows of ``docs``, all columns, whose share of hit words is at most ``max_share``."""
+    docs = numbered(docs)
     found = find_items(docs, benchmark, id_col, text_col, rows=True, **how)
     return without_rows(docs, found.filter(F.size("hits") > F.lit(max_share) * F.col("n_words")).select("row"))

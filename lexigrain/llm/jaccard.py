@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.components import components
-from lexigrain.storage import bound_batches, materialize
+from lexigrain.storage import ROW, bound_batches, materialize, numbered
 
 #: Bytes of text of a block of documents, and tokens of a bucket of hashes, about.
 BLOCK_BYTES, BUCKET_TOKENS = 4 << 20, 1_000_000
@@ -252,9 +252,9 @@ def verified(pairs: DataFrame, filed: DataFrame, percent: int) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): each row's number, id, text hash and bytes; each hash's node number and its least (id, row)."""
+    """(rows, classes) of a ``numbered`` table: each row's number, id, text hash and bytes; each hash's node number and its least (id, row)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("h"), F.octet_length(text).cast("long").alias("bytes")), "texts")
+    rows = materialize(docs.select(F.col(ROW).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("h"), F.octet_length(text).cast("long").alias("bytes")), "texts")
     classes = rows.groupBy("h").agg(F.min(F.struct("id", "row")).alias("least"), F.max("bytes").alias("bytes"))
     return rows, materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
@@ -264,8 +264,8 @@ def component_rows(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
 
     Two documents link when 100 * intersection >= percent * union.  Rows of one
     text are always together; those without words stand alone.  Null ids come
-    first, and a component of theirs has a null id.  ``docs`` must be a scan,
-    which numbers its rows alike each time; extra columns are not read.
+    first, and a component of theirs has a null id.  ``docs`` must be a
+    ``numbered`` table; extra columns are not read.
     """
     bound_batches(docs.sparkSession)
     rows, classes = text_classes(docs, id_col, text_col)
@@ -278,7 +278,7 @@ def component_rows(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     if total.n <= MAX_BROADCAST_IDS:
         kept = F.broadcast(kept)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("text")).join(kept, "row")
+    texts = docs.select(F.col(ROW).alias("row"), text.alias("text")).join(kept, "row")
     blocks = texts.select(F.pmod(F.xxhash64("node"), F.lit(blocks_n)).cast("int").alias("block"), "node", "text")
     if blocks_n * buckets <= MAX_SLICES:
         sets = prefixes(blocks, document_frequencies(blocks, size, buckets, width, split), size, percent, split)
@@ -297,20 +297,22 @@ def component_rows(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
 
 def component_ids(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", split=split_words) -> DataFrame:
     """``component_rows`` by id: ``id_col``, n_shingles, component_id."""
+    docs = numbered(docs.select(id_col, text_col))
     return component_rows(docs, size, percent, id_col, text_col, split).select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with only the first row of each component."""
+    docs = numbered(docs)
     return without_rows(docs, component_rows(docs, size, percent, id_col, text_col).filter(~F.col("first")).select("row"))
 
 
 def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs``, a scan, without the rows of these numbers; the numbers are sent to every executor if they are few."""
-    gone = materialize(rows.select(F.col("row").alias("__row")), "gone")
+    """``docs``, a ``numbered`` table, without the rows of these numbers and without the numbers; the numbers are sent to every executor if they are few."""
+    gone = materialize(rows.select(F.col("row").alias(ROW)), "gone")
     if gone.count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return docs.join(gone, ROW, "left_anti").drop(ROW)
 
 
 def link(filed: DataFrame, percent: int) -> DataFrame:

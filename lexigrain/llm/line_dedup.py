@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrain.storage import materialize, release
+from lexigrain.storage import ROW, materialize, numbered, release
 
 #: Words that a repeated run needs, a blank line counting as one.
 MIN_WORDS = 50
@@ -36,11 +36,11 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per row: row number, id, text hashes, words, and per line its id and size in words."""
+    """One row per row of a ``numbered`` table: row number, id, text hashes, words, and per line its id and size in words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = lambda x: F.greatest(F.lit(1), F.size(F.split(F.trim(x), "[ \\t\\x0B\\f\\r]+")))
     lines = F.transform(_lines(text), lambda x: F.struct(F.xxhash64(x).alias("b"), size(x).alias("w")))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text, F.length(text)).alias("h2"), lines.alias("lines"))
+    rows = docs.select(F.col(ROW).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text, F.length(text)).alias("h2"), lines.alias("lines"))
     return rows.withColumn("words", F.aggregate("lines", F.lit(0), lambda a, x: a + x.w))
 
 
@@ -128,7 +128,7 @@ def repeated_lines(ranked: DataFrame, levels: int, min_words: int) -> DataFrame:
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, n_lines, gone): the rows that lose lines, by their number in ``docs``, and the lines' numbers; null: all of them."""
+    """(row, n_lines, gone): the rows that lose lines, by their number in ``docs``, a ``numbered`` table, and the lines' numbers; null: all of them."""
     table = materialize(line_table(docs, id_col, text_col), "lines")
     # A later copy of a whole text loses everything if the text has enough words; only first copies are sorted.
     key = F.struct("id", "row")
@@ -148,18 +148,18 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """``docs``, every column and row, with later copies of repeated line runs deleted from the text.
 
-    Corpus order is by id, rows of one id in the order read (``docs`` must be
-    a scan, which numbers its rows alike each time); null ids come first.  The
-    first copy of a run stays, also inside one document.  Lines end at "\\n";
-    texts without deletions, null and empty ones stay as they are.  With
-    ``counts``: columns n_lines and n_deleted.
+    Corpus order is by id, rows of one id in the order read, which is written
+    down once; null ids come first.  The first copy of a run stays, also inside
+    one document.  Lines end at "\\n"; texts without deletions, null and empty
+    ones stay as they are.  With ``counts``: columns n_lines and n_deleted.
     """
     names = docs.columns
-    gone = deletions(docs, id_col, text_col, min_words).select(F.col("row").alias("__row"), F.col("n_lines").alias("__n"), F.col("gone").alias("__gone"), F.lit(True).alias("__hit"))
+    docs = numbered(docs)
+    gone = deletions(docs, id_col, text_col, min_words).select(F.col("row").alias(ROW), F.col("n_lines").alias("__n"), F.col("gone").alias("__gone"), F.lit(True).alias("__hit"))
     size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("__gone")), F.lit(0)).alias("lines")).first()
     if size.rows <= MAX_BROADCAST_ROWS and size.lines <= MAX_BROADCAST_LINES:
         gone = F.broadcast(gone)
-    marked = docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left")
+    marked = docs.join(gone, ROW, "left")
     lines = _lines(F.col(text_col))
     kept = F.array_except(F.sequence(F.lit(0), F.col("__n") - 1), F.col("__gone"))
     text = F.when(F.col("__hit").isNull(), F.col(text_col)).when(F.col("__gone").isNull(), F.lit("")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))

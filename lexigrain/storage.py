@@ -13,6 +13,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -45,6 +46,19 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Column of the numbers that ``numbered`` gives.
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row in ROW, written once: whoever reads it finds the same numbers.
+
+    Two scans of one input need not number its rows alike: splits are cut by
+    the cores registered when a scan is planned.
+    """
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 #: Bytes of an Arrow batch between executor and Python worker, about.
 BATCH_BYTES = 8 << 20
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrain import storage
 from lexigrain.llm import components, decontaminate, html_text, jaccard, line_dedup, sharding, topk
 
 
@@ -201,3 +202,40 @@ def test_fold():
     from lexigrain.llm.labelled import fold_of
 
     assert fold_of(12) == zlib.crc32(b"12") % 5 and F is not None
+
+
+# Row numbers.
+
+
+@pytest.fixture
+def splits_change(spark, monkeypatch):
+    """A function after whose call files are split otherwise once the next table is written, as where executors come and go."""
+    key, write = "spark.sql.files.maxPartitionBytes", storage.materialize
+
+    def written(*args):
+        out = write(*args)
+        spark.conf.set(key, "128m")
+        return out
+
+    for module in (storage, line_dedup, jaccard):
+        monkeypatch.setattr(module, "materialize", written)
+    yield lambda: spark.conf.set(key, "400")
+    spark.conf.unset(key)
+
+
+def test_numbers_hold_when_splits_change(spark, tmp_path, splits_change):
+    rows = [(i, f"only {i}\n" + ("a b c\nd e f" if i % 3 == 0 else f"x {i} y {i} z {i}")) for i in range(60)]
+    df = saved(spark, tmp_path, rows, "doc_id long, text string", files=12)
+    gone = brute.deleted_lines(rows, 5)
+    want = [(i, "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[k])) for k, (i, t) in enumerate(rows)]
+    splits_change()
+    assert sorted(map(tuple, line_dedup.dedup_lines(df, min_words=5).collect())) == want
+    rows = [(i, " ".join(f"w{i % 20}x{k}" for k in range(30 - i // 40))) for i in range(60)]
+    df = saved(spark, tmp_path, rows, "doc_id long, text string", files=12)
+    splits_change()
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.component_ids(df, 5, 80).collect()) == [(i, i % 20) for i in range(60)]
+    splits_change()
+    assert sorted(map(tuple, jaccard.keep_first(df).collect())) == rows[:20]
+    items = spark.createDataFrame([(7, rows[7][1])], "item_id long, text string")
+    splits_change()
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(df, items).collect()) == [i for i in range(60) if i % 20 != 7]
