@@ -125,13 +125,23 @@ def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("vec_id", F.round("score", 5).alias("score"), "rank")
 
 
-def cosine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest of every hundredth vector."""
+def _nearest(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    """The five nearest of the vectors whose id is divisible by ``every``, among all."""
     t = table(spark, sf_dir, "embeddings")
-    got = vector.similarity_join(t.filter("vec_id % 100 = 0").withColumn("query_id", F.col("vec_id")), t.withColumn("id", F.col("vec_id")), 5)
+    got = vector.similarity_join(t.filter(F.col("vec_id") % every == 0).withColumn("query_id", F.col("vec_id")), t.withColumn("id", F.col("vec_id")), 5)
     return got.select("query_id", F.col("id").alias("vec_id"), F.round("score", 5).alias("score"), "rank")
 
 
+def cosine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every hundredth vector: the part of ``cosine_join_all`` that has SQL."""
+    return _nearest(spark, sf_dir, 100)
+
+
+def cosine_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every twentieth vector, the whole set of queries."""
+    return _nearest(spark, sf_dir, 20)
+
+
 def filtered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equality filters on whitelisted columns."""
     t = table(spark, sf_dir, "documents").select(F.col("lang").alias("system"), F.col("source").alias("content_type"), "n_chars")
@@ -211,5 +221,5 @@ def ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     content_type_counts, conversation_chunks, token_counts, normalized_hashes, token_lists, sentence_pieces, token_windows, budget_pieces, page_markers, form_feed_pages, heading_rules, constant_types,
-    hash_embeddings, cosine_top_k, cosine_join, filtered_rows, bm25, bm25_stemmed, index_statistics, stems, dedup_insert, known_rows, meta_upsert, model_audit, delete_document, search_texts, ingest_plan,
+    hash_embeddings, cosine_top_k, cosine_join, cosine_join_all, filtered_rows, bm25, bm25_stemmed, index_statistics, stems, dedup_insert, known_rows, meta_upsert, model_audit, delete_document, search_texts, ingest_plan,
 )
