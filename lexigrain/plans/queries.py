@@ -73,10 +73,15 @@ def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pieces).alias("piece", "text")).select("doc_id", "piece", F.sha2("text", 256).alias("text_sha256"))
 
 
-def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without line breaks cut into windows of 50 tokens, overlapping by 5."""
+def token_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without line breaks cut into windows of 50 tokens, overlapping by 5; what fits stays as it is."""
     one_line = F.translate("text", "\n|", "  ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_to_budget(one_line, 50, 5, "token")).alias("piece", "text")).filter("piece > 0").select("doc_id", "piece", F.sha2("text", 256).alias("text_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split_to_budget(one_line, 50, 5, "token")).alias("piece", "text")).select("doc_id", "piece", F.sha2("text", 256).alias("text_sha256"))
+
+
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that overlap one before: the part of ``token_windows_all`` that has SQL."""
+    return token_windows_all(spark, sf_dir).filter("piece > 0")
 
 
 def budget_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +225,6 @@ def ingest_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    content_type_counts, conversation_chunks, token_counts, normalized_hashes, token_lists, sentence_pieces, token_windows, budget_pieces, page_markers, form_feed_pages, heading_rules, constant_types,
+    content_type_counts, conversation_chunks, token_counts, normalized_hashes, token_lists, sentence_pieces, token_windows, token_windows_all, budget_pieces, page_markers, form_feed_pages, heading_rules, constant_types,
     hash_embeddings, cosine_top_k, cosine_join, cosine_join_all, filtered_rows, bm25, bm25_stemmed, index_statistics, stems, dedup_insert, known_rows, meta_upsert, model_audit, delete_document, search_texts, ingest_plan,
 )

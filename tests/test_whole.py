@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import plain
 from test_queries import DIR
 
 from lexigrain.plans import queries
@@ -23,3 +25,11 @@ def test_cosine_join_all(spark):
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in queries.cosine_join_all(spark, DIR).collect()}
     assert got.keys() == want.keys() and len(want) > 100
     assert all(got[k][0] == i and abs(got[k][1] - s) < 1e-4 for k, (i, s) in want.items())
+
+
+def test_token_windows_all(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()
+    texts = [(r.doc_id, r.text.replace("\n", " ").replace("|", " ")) for r in docs if r.text is not None]
+    want = [(i, k, hashlib.sha256(p.encode()).hexdigest()) for i, t in texts for k, p in enumerate(plain.split(t, 50, 5, "token"))]
+    assert sorted(map(tuple, queries.token_windows_all(spark, DIR).collect())) == sorted(want)
+    assert {i for i, _, _ in want} == {i for i, _ in texts}
