@@ -177,8 +177,8 @@ def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stems of the distinct words of English documents."""
-    words = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.explode(fulltext.terms(F.col("text"))).alias("word")).distinct()
+    """Stems of the distinct words of all documents."""
+    words = table(spark, sf_dir, "documents").select(F.explode(fulltext.terms(F.col("text"))).alias("word")).distinct()
     return words.withColumn("stem", stem_column("word"))
 
 

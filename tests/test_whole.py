@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import plain
 from test_queries import DIR
 
+from lexigrain.functions.stem import stem
+from lexigrain.operators import fulltext
 from lexigrain.plans import queries
 
 
@@ -33,3 +36,11 @@ def test_token_windows_all(spark):
     want = [(i, k, hashlib.sha256(p.encode()).hexdigest()) for i, t in texts for k, p in enumerate(plain.split(t, 50, 5, "token"))]
     assert sorted(map(tuple, queries.token_windows_all(spark, DIR).collect())) == sorted(want)
     assert {i for i, _, _ in want} == {i for i, _ in texts}
+
+
+def test_stems_of_all_languages(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("text", "lang").collect()
+    fold = str.maketrans(fulltext._MARKED, fulltext._PLAIN)
+    words = lambda rows: {w for r in rows for w in re.split("[^a-z]+", (r.text or "").lower().translate(fold)) if w} - fulltext.STOP_WORDS
+    assert words(docs) > words(r for r in docs if r.lang == "en")
+    assert sorted(map(tuple, queries.stems(spark, DIR).collect())) == sorted((w, stem(w)) for w in words(docs))
