@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrain import storage
-from lexigrain.llm import components, decontaminate, html_text, jaccard, line_dedup, sharding, topk
+from lexigrain.llm import components, decontaminate, jaccard, line_dedup, sharding, topk
 
 
 def saved(spark, tmp_path, rows, schema, files=3):
@@ -171,33 +171,6 @@ def test_top_k(spark):
     assert topk.products(np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 1.0]]))[0, 0] == np.iinfo(np.int64).max
 
 
-# HTML.
-
-
-@pytest.mark.parametrize(
-    ("page", "want"),
-    [
-        (None, ""),
-        ("", ""),
-        ("<html><body><nav><a href=x>home</a></nav><article><h1>T &amp; U</h1><p>One\n two<br>three<p>Four</article><footer>&copy; x</footer>", "T & U\nOne two three\nFour"),
-        ('<script>var t="</p>";</script><style>p{}</style><article><p>Text<!-- no --></p><div class="ad">Buy</div><aside>More</aside></article>', "Text"),
-        ("<p>Only short", "Only short"),
-        ("<div class=sidebar><p>This is a long text of the kind that is in the way of the reader, and it is not for the article at all.</p></div><p>It was the best of times, it was the worst of times.</p>", "It was the best of times, it was the worst of times."),
-        ("<form><p>The name of the user and the rest of it, which is to be put in here</p></form><p>The article is in here and it has to be found.</p><p>Yes.</p><div id='comments'><p>I think that this is the best of all.</p></div>", "The article is in here and it has to be found.\nYes."),
-        ("<div class='post has-sidebar'><p>It was the best of times, and it was the worst of times for all of us.</p></div><div class='post-comments'><p>That is what it was, and it is of no use to me.</p></div>", "It was the best of times, and it was the worst of times for all of us."),
-        ("<article><p>a < b &lt;c&gt; &#233;&nbsp;x</p><p title='a>b'>q</article>", "a < b <c> é x\nq"),
-    ],
-)
-def test_main_text(page, want):
-    assert html_text.main_text(page) == want
-
-
-def test_extract(spark):
-    rows = [(1, "u", None), (1, "u", "<p>hi"), (None, None, "<article><p>" + "x y " * 50_000)]
-    got = html_text.extract(spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, n_chars int")).collect()
-    assert sorted(((r.page_id, r.text[:5], r.n_chars) for r in got), key=repr) == sorted([(1, "", 0), (1, "hi", 2), (None, "x y x", 199_999)], key=repr)
-
-
 def test_fold():
     from lexigrain.llm.labelled import fold_of
 
