@@ -17,7 +17,9 @@ from lexigrain.functions.text import DOT, WS, page_of, strip, token_count, witho
 from lexigrain.schema import ChunkingConfig
 
 _HEADING = rf"^(#{{1,6}}){WS}+({DOT}+?){WS}*\z"
-_STRINGS, _INTS = "array<string>", "array<int>"
+_INTS = "array<int>"
+#: Units of a block of a fold.
+_BLOCK = 256
 
 
 def _none(kind: str) -> Column:
@@ -34,28 +36,42 @@ def _spans(starts: Column, n: Column, f: Callable[[Column, Column], Column]) ->
     return _let(starts, lambda bound: F.transform(bound, lambda s, j: f(s, F.coalesce(F.get(bound, j + 1), n + 1) - s)))
 
 
+def _titles(heads: Column, n: Column, depth: int) -> Column:
+    """For each heading the title at ``depth`` that it stands under, "" if that level was skipped."""
+    # A heading of this level or above sets the title for all up to the next such heading.
+    resets = F.filter(_indices(n), lambda i: F.element_at(heads, i).level <= depth)
+
+    def fill(s: Column, k: Column) -> Column:
+        head = F.element_at(heads, s)
+        return F.array_repeat(F.when(head.level == depth, head.title).otherwise(""), k)
+
+    return _let(resets, lambda r: F.concat(F.array_repeat(F.lit(""), F.coalesce(F.get(r, 0), n + 1) - 1), F.flatten(_spans(r, n, fill))))
+
+
 def sections(text: Column) -> Column:
     """Array of (heading_path, text): one section per heading with a body; text before the first heading is dropped.
 
-    Skipped levels are empty strings in the path; fences mean nothing.
+    Skipped levels are empty strings in the path; fences mean nothing.  Linear
+    in the lines: paths are filled level by level, not carried along.
     """
     lines = F.split(text, "\n", -1)
     tagged = F.transform(lines, lambda x: F.struct(x.alias("line"), F.length(F.regexp_extract(x, _HEADING, 1)).alias("level"), F.regexp_extract(x, _HEADING, 2).alias("title")))
 
     def build(tagged: Column) -> Column:
         n = F.size(tagged)
-        heads = F.filter(_indices(n), lambda i: F.element_at(tagged, i).level > 0)
-        found = _spans(heads, n, lambda s, k: F.struct(F.element_at(tagged, s).level.alias("level"), F.element_at(tagged, s).title.alias("title"), strip(F.array_join(F.transform(F.slice(tagged, s + 1, k - 1), lambda x: x.line), "\n")).alias("text")))
-        start = F.struct(_none("array<struct<heading_path:array<string>,text:string>>").alias("out"), _none(_STRINGS).alias("path"))
+        starts = F.filter(_indices(n), lambda i: F.element_at(tagged, i).level > 0)
+        return _spans(starts, n, lambda s, k: F.struct(F.element_at(tagged, s).level.alias("level"), F.element_at(tagged, s).title.alias("title"), strip(F.array_join(F.transform(F.slice(tagged, s + 1, k - 1), lambda x: x.line), "\n")).alias("text")))
+
+    def paths(heads: Column) -> Column:
+        above = F.array(*(_titles(heads, F.size(heads), d) for d in range(1, 6)))
 
-        def step(acc: Column, x: Column) -> Column:
-            padded = F.concat(F.slice(acc.path, 1, x.level - 1), F.array_repeat(F.lit(""), F.greatest(F.lit(0), x.level - 1 - F.size(acc.path))), F.array(x.title))
-            grown = F.when(x.text == "", acc.out).otherwise(F.concat(acc.out, F.array(F.struct(padded.alias("heading_path"), x.text.alias("text")))))
-            return F.struct(grown.alias("out"), padded.alias("path"))
+        def path(above: Column) -> Column:
+            own = lambda h, i: F.concat(F.transform(F.slice(above, 1, h.level - 1), lambda titles: F.get(titles, i)), F.array(h.title))
+            return F.transform(heads, lambda h, i: F.struct(own(h, i).alias("heading_path"), h.text.alias("text")))
 
-        return F.aggregate(found, start, step, lambda acc: acc.out)
+        return F.filter(_let(above, path), lambda x: x.text != "")
 
-    return _let(tagged, build)
+    return _let(_let(tagged, build), paths)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -76,27 +92,42 @@ def merge_small(found: Column, min_tokens: int) -> Column:
 
 
 def _starts(counts: Column, max_tokens: int, alone: Callable[[Column, Column], Column]) -> Column:
-    """Where greedy pieces begin among units of these counts: units without tokens begin none; what stands ``alone`` ends its piece."""
-    start = F.struct(_none(_INTS).alias("out"), F.lit(0).alias("held"), F.lit(0).alias("i"))
+    """Where greedy pieces begin among units of these counts: units without tokens begin none; what stands ``alone`` ends its piece.
+
+    Folds copy what they have gathered at every step, so units are folded block by block.
+    """
+
+    def state(out: Column, held: Column, i: Column) -> Column:
+        return F.struct(out.alias("out"), held.alias("held"), i.alias("i"))
 
     def step(acc: Column, n: Column) -> Column:
         i = acc.i + 1
         fresh = (n > 0) & ((acc.held == 0) | (acc.held + n > max_tokens))
         held = F.when(alone(i, n), F.lit(0)).when(fresh, n).otherwise(acc.held + n)
-        return F.struct(F.when(fresh, F.concat(acc.out, F.array(i))).otherwise(acc.out).alias("out"), held.alias("held"), i.alias("i"))
+        return state(F.when(fresh, F.concat(acc.out, F.array(i))).otherwise(acc.out), held, i)
+
+    def block(acc: Column, part: Column) -> Column:
+        folded = F.aggregate(part, state(_none(_INTS), acc.held, acc.i), step)
+        return _let(folded, lambda f: state(F.concat(acc.out, F.array(f.out)), f.held, f.i))
+
+    blocks = _let(counts, lambda c: F.when(F.size(c) > 0, F.transform(F.sequence(F.lit(1), F.size(c), F.lit(_BLOCK)), lambda s: F.slice(c, s, _BLOCK))).otherwise(_none(f"array<{_INTS}>")))
+    return F.flatten(F.aggregate(blocks, state(_none(f"array<{_INTS}>"), F.lit(0), F.lit(0)), block, lambda acc: acc.out))
+
 
-    return F.aggregate(counts, start, step, lambda acc: acc.out)
+def _units(text: Column, pattern: str) -> Column:
+    """(text, n) of the stretches between matches: stripped, blank ones left out, with their token counts."""
+    kept = F.filter(F.transform(F.split(text, pattern, -1), strip), lambda u: u != "")
+    return F.transform(kept, lambda u: F.struct(u.alias("text"), token_count(u).alias("n")))
 
 
-def greedy_pack(units: Column, max_tokens: int) -> Column:
-    """Stripped units that are not blank, packed into pieces of at most ``max_tokens`` by single spaces; a larger unit stands alone."""
+def _packed(units: Column, max_tokens: int) -> Column:
+    starts = _starts(F.transform(units, lambda u: u.n), max_tokens, lambda i, n: n > max_tokens)
+    return _spans(starts, F.size(units), lambda at, k: F.array_join(F.transform(F.slice(units, at, k), lambda u: u.text), " "))
 
-    def build(units: Column) -> Column:
-        counts = F.transform(units, token_count)
-        starts = _starts(counts, max_tokens, lambda i, n: n > max_tokens)
-        return _spans(starts, F.size(units), lambda at, k: F.array_join(F.slice(units, at, k), " "))
 
-    return _let(F.filter(F.transform(units, strip), lambda u: u != ""), build)
+def greedy_pack(text: Column, pattern: str, max_tokens: int) -> Column:
+    """A text's stretches between matches of a pattern, stripped, packed into pieces of at most ``max_tokens`` by single spaces; a larger one stands alone."""
+    return _let(_units(text, pattern), lambda units: _packed(units, max_tokens))
 
 
 def pack_lines(text: Column, max_tokens: int) -> Column:
@@ -105,20 +136,20 @@ def pack_lines(text: Column, max_tokens: int) -> Column:
     def build(lines: Column) -> Column:
         def group(table: Column) -> Column:
             first = F.filter(_indices(F.size(lines)), lambda i: ~F.get(table, i - 1) | (i == 1) | ~F.coalesce(F.get(table, i - 2), F.lit(False)))
-            return _spans(first, F.size(lines), lambda s, k: F.struct(F.array_join(F.slice(lines, s, k), "\n").alias("text"), F.get(table, s - 1).alias("table")))
+            joined = _spans(first, F.size(lines), lambda s, k: F.struct(F.array_join(F.slice(lines, s, k), "\n").alias("text"), F.get(table, s - 1).alias("table")))
+            return F.transform(joined, lambda u: F.struct(u.text.alias("text"), u.table.alias("table"), token_count(u.text).alias("n")))
 
         units = _let(F.transform(lines, lambda x: F.regexp_replace(x, f"^{WS}+", "").startswith("|")), group)
 
         def pack(units: Column) -> Column:
-            counts = F.transform(units, lambda u: token_count(u.text))
-            wide = lambda u, n: ~u.table & (n > max_tokens)
-            starts = _starts(counts, max_tokens, lambda i, n: wide(F.element_at(units, i), n))
+            wide = lambda u: ~u.table & (u.n > max_tokens)
+            starts = _starts(F.transform(units, lambda u: u.n), max_tokens, lambda i, n: wide(F.element_at(units, i)))
 
             def piece(s: Column, k: Column) -> Column:
                 unit = F.element_at(units, s)
                 windows = _let(ws_tokens(unit.text), lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)), F.lit(max_tokens)), lambda j: F.array_join(F.slice(t, j, max_tokens), " ")))
                 whole = F.array(strip(F.array_join(F.transform(F.slice(units, s, k), lambda u: u.text), "\n")))
-                return F.when(wide(unit, token_count(unit.text)), windows).otherwise(whole)
+                return F.when(wide(unit), windows).otherwise(whole)
 
             return F.flatten(_spans(starts, F.size(units), piece))
 
@@ -141,11 +172,12 @@ def with_overlap(pieces: Column, overlap: int) -> Column:
 def split_to_budget(text: Column, max_tokens: int, overlap: int = 0, overflow: str = "paragraph") -> Column:
     """Pieces of a text: itself if it fits, else by paragraphs, else by sentences, else by lines; a rung holds if every piece fits."""
     ChunkingConfig(max_tokens=max_tokens, overflow=overflow)
-    fits = lambda ps: F.forall(ps, lambda p: token_count(p) <= max_tokens)
     by_lines = with_overlap(pack_lines(text, max_tokens), overlap)
 
     def rung(pattern: str, below: Column) -> Column:
-        return _let(greedy_pack(F.split(text, pattern, -1), max_tokens), lambda ps: F.when(fits(ps), with_overlap(ps, overlap)).otherwise(below))
+        # Only a unit that is too large itself makes a piece that is.
+        fits = lambda units: F.forall(units, lambda u: u.n <= max_tokens)
+        return _let(_units(text, pattern), lambda units: F.when(fits(units), with_overlap(_packed(units, max_tokens), overlap)).otherwise(below))
 
     by_sentences = rung(rf"(?<=[.!?]){WS}+", by_lines)
     out = {"token": by_lines, "sentence": by_sentences}.get(overflow)

@@ -46,8 +46,16 @@ class GivenPages(Extractor):
     given: tuple[tuple[int, str], ...]
 
     def pages(self, files: DataFrame) -> DataFrame:
-        own = files.sparkSession.createDataFrame(list(self.given), "page_num int, text string")
-        return files.select("path").crossJoin(F.broadcast(own)).select("path", "page_num", "text")  # a handful of pages given by the caller
+        own = F.array(*(F.struct(F.lit(n).cast("int").alias("page_num"), F.lit(t).alias("text")) for n, t in self.given))
+        return files.select("path", F.inline(own)) if self.given else files.sparkSession.createDataFrame([], PAGES)
+
+
+@dataclass(frozen=True)
+class FormFeedText(Extractor):
+    """Text files whose pages end with form feeds, in UTF-8."""
+
+    def pages(self, files: DataFrame) -> DataFrame:
+        return files.select("path", F.inline(split_pages(F.col("content").cast("string")))).select("path", F.col("page_num").cast("int").alias("page_num"), "text")
 
 
 def run_tool(arguments: list[str]) -> bytes:

@@ -1,36 +1,65 @@
 """Shared-folder helpers: where intermediate tables go, and how lineage is cut.
 
 Intermediate tables are written below ``spark.checkpoint.dir`` because that is
-the one folder that the driver and every executor can see.  A session without
-the setting (tests, a laptop) gets a folder of its own.
+the one folder that the driver and every executor can see.  Only a local
+session without any such folder (tests, a laptop) gets one of its own.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
-_collected = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; set up only where none is named."""
+    """The folder for intermediate tables: the setting's, else the one given to ``setCheckpointDir``; an error on a cluster that names neither."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lexigrain-")
     return _own_dirs[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, known to ``clear_tables``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Whether a finished statement's shuffle files go at once.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a written table go as soon as it is written; nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -39,10 +68,9 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     the plan.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
-    drop_finished(spark)
+    path = new_path(spark, name)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,26 +92,38 @@ BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to BATCH_BYTES: rows are whole texts here, and ten thousand of them are too many at once."""
+    """Hold the session's Arrow batches to BATCH_BYTES: rows are whole texts here, and ten thousand of them are too many at once.
+
+    Frames are run after the function that made them has returned, so the
+    setting stays; a smaller one is left as it is.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, "67108864b").rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
-def drop_finished(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files and broadcasts of finished plans, which it does when the driver collects garbage; every few seconds at most."""
-    global _collected
-    if time.monotonic() - _collected > 3:
-        _collected = time.monotonic()
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``materialize`` returned."""
-    for f in df.inputFiles()[:1]:
-        _delete(df.sparkSession, f.rpartition("/")[0])
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind frames that ``materialize`` returned."""
+    for df in frames:
+        paths = {f.rpartition("/")[0] for f in df.inputFiles()[:1]}
+        for path in paths:
+            _delete(df.sparkSession, path)
+            known = _written.get(df.sparkSession.sparkContext.applicationId, [])
+            known[:] = [p for p in known if p.rpartition("/")[2] != path.rpartition("/")[2]]
+
+
+@contextmanager
+def only(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for the frames put into the list."""
+    known = _written.setdefault(spark.sparkContext.applicationId, [])
+    before = set(known)
+    kept: list[DataFrame] = []
+    yield kept
+    stay = {f.rpartition("/")[0].rpartition("/")[2] for df in kept for f in df.inputFiles()[:1]}
+    for path in [p for p in known if p not in before and p.rpartition("/")[2] not in stay]:
+        known.remove(path)
+        _delete(spark, path)
 
 
 def clear_tables(spark: SparkSession) -> None:

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 import random
+import time
 
 import plain
 import pytest
@@ -16,23 +18,23 @@ def one(spark, expr, text):
 
 
 def test_tokens_and_hash(spark):
-    assert one(spark, fn.token_count, "hello world") == 2
-    assert one(spark, fn.token_count, "  hello   world \n foo ") == 3
+    assert one(spark, fn.token_count, "barge lock") == 2
+    assert one(spark, fn.token_count, "\t barge \n\n lock  weir ") == 3
     assert one(spark, fn.token_count, "") == 0
     assert one(spark, fn.token_count, "a\u00a0b\ufeffc\u0085d") == 3
     assert one(spark, fn.ws_tokens, " \n") == []
-    assert one(spark, fn.normalize_text, " Hello\tWorld \n") == "hello world"
-    hashes = {one(spark, fn.content_hash, t) for t in ("Hello World", "hello world", "hello  world")}
-    assert hashes == {"b94d27b9934d3e08a52e52d7da7dabfac484efe37a5380ee9088f7ace2efcde9"}
+    assert one(spark, fn.normalize_text, "\u3000BARGE\t\tLock \n") == "barge lock"
+    hashes = {one(spark, fn.content_hash, t) for t in ("Barge Lock", "barge lock", "barge\n lock")}
+    assert hashes == {hashlib.sha256(b"barge lock").hexdigest()}
     assert one(spark, fn.token_count, None) is None
 
 
 @pytest.mark.parametrize(
     ("text", "page", "want"),
     [
-        ("# Iron Vow\nbody text here.", 3, "# Iron Vow\n<!-- page 3 -->\nbody text here."),
-        ("Some prose without a heading.", 2, "<!-- page 2 -->\nSome prose without a heading."),
-        ("\n\n# Heading\nbody.", 5, "\n\n# Heading\n<!-- page 5 -->\nbody."),
+        ("### The Weir\nlow in June\n# Again", 30, "### The Weir\n<!-- page 30 -->\nlow in June\n# Again"),
+        ("Barges wait.\n# Later", 7, "<!-- page 7 -->\nBarges wait.\n# Later"),
+        ("\n \n## Locks\nup, down", 12, "\n \n## Locks\n<!-- page 12 -->\nup, down"),
         ("  \n #tag", 1, "  \n #tag\n<!-- page 1 -->"),
         ("", 1, "<!-- page 1 -->\n"),
     ],
@@ -42,10 +44,10 @@ def test_page_marker(spark, text, page, want):
 
 
 def test_pages(spark):
-    assert [tuple(p) for p in one(spark, fn.split_pages, "Content\f\f\fMore content")] == [(1, "Content"), (4, "More content")]
-    marked = "end of page 1.\n<!-- page 2 -->\nstart of page 2."
-    assert (one(spark, fn.page_of, marked), one(spark, fn.without_markers, marked)) == ("2", "end of page 1.\nstart of page 2.")
-    assert (one(spark, fn.page_of, "no marker here"), one(spark, fn.without_markers, "no marker here")) == ("", "no marker here")
+    assert [tuple(p) for p in one(spark, fn.split_pages, "\f locks \f\n\fweirs\ntoo\f")] == [(2, "locks"), (4, "weirs\ntoo")]
+    marked = "a <!-- page 8 -->b\n<!-- page 19 -->\nc <!-- page x -->"
+    assert (one(spark, fn.page_of, marked), one(spark, fn.without_markers, marked)) == ("19", "a b\nc <!-- page x -->")
+    assert (one(spark, fn.page_of, "plain"), one(spark, fn.without_markers, "plain ")) == ("", "plain")
     pages = spark.createDataFrame([([(1, "# A\nx"), (2, "y")],)], "p array<struct<page_num:int,text:string>>")
     assert pages.select(fn.join_pages("p").alias("x")).first().x == "# A\n<!-- page 1 -->\nx\n\n<!-- page 2 -->\ny"
 
@@ -57,10 +59,10 @@ def test_sections(spark):
 
 def test_split_cases(spark):
     cut = lambda text, **k: one(spark, lambda c: split_to_budget(c, **k), text)
-    assert cut("one two three", max_tokens=10) == ["one two three"]
-    assert [len(p.split()) for p in cut(" ".join(f"w{i}" for i in range(1, 51)), max_tokens=10, overlap=2, overflow="token")] == [10, 12, 12, 12, 12]
-    table = "\n".join(f"| item_{i:03} | {i} |" for i in range(102))
-    assert cut(table, max_tokens=50) == [table]
+    assert cut(" up, down ", max_tokens=4) == [" up, down "]
+    assert [p.split() for p in cut("a b c d e f g", max_tokens=3, overlap=1, overflow="token")] == [["a", "b", "c"], ["c", "d", "e", "f"], ["f", "g"]]
+    table = "\n".join(f"| weir {i} | {i * i} |" for i in range(40))
+    assert cut(table, max_tokens=30) == [table]
     with pytest.raises(ValueError):
         cut("x", max_tokens=0)
 
@@ -97,3 +99,22 @@ def test_chunks_as_written_out(spark, overflow):
 def test_no_chunks(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "no heading")], "doc_id int, text string")
     assert chunk_documents(df).count() == 0
+
+
+def test_headings_are_linear(spark):
+    """Many headings, of all levels: paths as written out, and no time that grows with their square."""
+    rng = random.Random(8)
+    text = "\n".join("#" * rng.randint(1, 6) + f" t{i}\nx" for i in range(3000))
+    assert [tuple(s) for s in one(spark, sections, text)] == plain.sections(text)
+    took = {}
+    for n in (4000, 16_000):
+        df = spark.createDataFrame([("\n".join(f"{'#' * (i % 6 + 1)} t {i}\nx {i}" for i in range(n)),)], "t string")
+        began = time.perf_counter()
+        assert df.select(F.size(sections(F.col("t")))).first()[0] == n
+        took[n] = time.perf_counter() - began
+    assert took[16_000] < 4 * took[4000] + 3
+
+
+def test_many_units(spark):
+    text = "\n\n".join(f"p{i} " + "w " * (i % 9) for i in range(1500))
+    assert one(spark, lambda c: split_to_budget(c, 11, 2), text) == plain.split(text, 11, 2)

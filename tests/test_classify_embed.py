@@ -12,13 +12,13 @@ from lexigrain.operators import embed as em
 from lexigrain.schema import PBTA_CONTENT_TYPES
 
 CHUNKS = [
-    (0, "**When you delve\nthe depths**, roll.", ["Moves"]),
-    (1, "intro\n| a | b |\n|---|---|\n| 1 | 2 |", ["Gear"]),
-    (2, "Armor: 2 and HP 4", ["Bestiary", " Blight Walker "]),
-    (3, "no numbers here", ["Bestiary"]),
-    (4, "words", ["Running the game"]),
-    (5, "words", ["The World", "The Ironlands"]),
-    (6, "words", ["Difficulty"]),
+    (0, "Or: **WHEN  you open\nthe sluice**, wait.", ["Canal"]),
+    (1, "tolls\n  | barge | 3 |\n|raft|1|", ["Fees"]),
+    (2, "its armor turns 2 blows", ["Monsters of the lock", " Eel King "]),
+    (3, "it has armor", ["NPCs"]),
+    (4, "words", ["How to run a lock"]),
+    (5, "words", ["Geography", "The Upper Reach"]),
+    (6, "words", ["Factional strife"]),
     (7, "words", []),
     (8, "x", ["Random encounters"]),
     (9, "**when   **", ["A"]),
@@ -33,7 +33,7 @@ def chunks(spark):
 def test_rules(chunks):
     got = {r.chunk_order: r for r in cl.RuleClassifier().apply(chunks).collect()}
     assert [got[i].content_type for i in range(10)] == ["move", "table", "stat_block", "mechanic", "gm_guidance", "lore", "lore", "mechanic", "table", "move"]
-    assert got[0].move_trigger == "you delve\nthe depths" and got[2].npc_name == "Blight Walker"
+    assert got[0].move_trigger == "you open\nthe sluice" and got[2].npc_name == "Eel King"
     assert got[9].move_trigger == "" and got[0].npc_name is None and got[0].tags == []
 
 
@@ -43,7 +43,7 @@ def test_constant(chunks):
 
 
 def test_json_array():
-    assert cl.extract_json_array('Here:\n```json\n[{"content_type":"mechanic"}]\n``` done') == '[{"content_type":"mechanic"}]'
+    assert cl.extract_json_array('So (two): [{"tags": ["a]"]}, 5] or [6]') == '[{"tags": ["a]"]}, 5]'
     assert cl.extract_json_array(r'[{"a": "]\"["}, [1]] tail') == r'[{"a": "]\"["}, [1]]'
     with pytest.raises(ValueError, match="No JSON"):
         cl.extract_json_array("none")

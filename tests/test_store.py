@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from lexigrain.sources.extract import CachedPages, Extractor, GivenPages, Popple
 from lexigrain.sources.files import read_documents, resolve_format
 from lexigrain.streaming.ingest import stream_folder
 
-MOVES = "# Moves\nall moves\n## Delve\n**When you delve**, roll.\n## Secure\n**When you secure**, roll.\n"
+MOVES = "# Moves\nlist of them\n## Ferry\n**When you ferry**, roll.\n## Trade\n**When you trade**, roll.\n"
 
 
 def source(path, **changes):
@@ -36,7 +38,7 @@ def test_insert_search_delete(spark, tmp_path):
     store.initialize(src)
     with pytest.raises(ValueError, match="length 4"):
         store.initialize(source(tmp_path, embedding_dim=8))
-    rows = [chunk("a", "iron vow momentum", chunk_order=1), chunk("b", "lore of iron", (0, 1, 0, 0), content_type="lore"), chunk("c", "nothing", (0, 0, 0, 0)), chunk("dup", "x", content_hash="a", chunk_order=5)]
+    rows = [chunk("a", "copper keel rudder", chunk_order=1), chunk("b", "songs of copper", (0, 1, 0, 0), content_type="lore"), chunk("c", "nothing", (0, 0, 0, 0)), chunk("dup", "x", content_hash="a", chunk_order=5)]
     df = spark.createDataFrame(rows, CHUNK_SCHEMA)
     assert store.insert(src, df) == 3 and store.insert(src, df) == 0
     assert store.insert(src, df.limit(0)) == 0
@@ -53,12 +55,12 @@ def test_insert_search_delete(spark, tmp_path):
             store.similarity_search(src, [1, 0, 0, 0], 5, bad)
     with pytest.raises(ValueError):
         store.similarity_search(src, [1, 0, 0, 0], -1)
-    found = store.bm25_search(src, "momentum iron vows").collect()
+    found = store.bm25_search(src, "rudder copper keels").collect()
     assert [r.id for r in found] == ["a", "b"] and found[0].score > found[1].score > 0
-    assert [r.id for r in store.bm25_search(src, "iron", filters={"content_type": "lore"}).collect()] == ["b"]
+    assert [r.id for r in store.bm25_search(src, "copper", filters={"content_type": "lore"}).collect()] == ["b"]
     assert store.bm25_search(src, "the of").count() == 0
-    store.rebuild_text_index()
-    assert [r.id for r in store.bm25_search(src, "momentum", index=store.text_index(stored=True)).collect()] == ["a"]
+    store.rebuild_text_index(src)
+    assert [r.id for r in store.bm25_search(src, "keel").collect()] == ["a"]
     store.delete("s1", "other")
     assert store.chunks().count() == 3
     store.delete("s1", "d")
@@ -67,6 +69,43 @@ def test_insert_search_delete(spark, tmp_path):
     assert store.meta().count() == 0
 
 
+def test_versions(spark, tmp_path, monkeypatch):
+    store, src = ChunkStore(spark, str(tmp_path)), source(tmp_path)
+    rows = lambda *ids, doc: spark.createDataFrame([chunk(i, f"word {i}", doc_id=doc) for i in ids], CHUNK_SCHEMA)
+    assert store.insert(src, rows("a", "b", doc="one")) == 2 and store.insert(src, rows("a", "c", doc="two")) == 2
+    assert store.insert(src, rows("a", "n", doc=None)) == 2 and store.insert(src, rows("a", "n", doc=None)) == 0
+    before = store._state()
+    old = store.chunks()
+    # Only the part that holds the document is written anew; what a reader holds stays until the vacuum.
+    store.delete("s1", "two")
+    after = store._state()
+    assert [p in after["parts"]["s1"] for p in before["parts"]["s1"]] == [True, False, True] and old.count() == 6
+    assert store.chunks().count() == store.stats(src)["chunk_count"] == 4
+    store.vacuum()
+    assert {p.name for p in (tmp_path / "parts").iterdir()} == {p["at"] for p in after["parts"]["s1"]} and len(list((tmp_path / "versions").glob("*.json"))) == 1
+    # A change that fails on the way, or that another writer was faster than, leaves the store as it was.
+    with pytest.raises(Exception, match="not of length 4"):
+        store.insert(src, spark.createDataFrame([chunk("z", "t", (1, 2))], CHUNK_SCHEMA))
+    with pytest.raises(Exception, match="not of length 4"):
+        store.insert(src, spark.createDataFrame([chunk("z", "t")], CHUNK_SCHEMA).withColumn("embedding", F.lit(None).cast("array<float>")))
+    with pytest.raises(RuntimeError, match="another writer"):
+        store._commit(before | {"version": after["version"] - 1})
+    assert store._state() == after
+    monkeypatch.setattr("lexigrain.operators.store.MAX_PARTS", 3)
+    assert store.insert(src, rows("q", doc="three")) == 1
+    assert len(store._state()["parts"]["s1"]) == 1 and store.stats(src)["chunk_count"] == 5
+    assert [r.id for r in store.bm25_search(src, "q").collect()] == ["q"]
+
+
+def test_bm25_join(spark):
+    docs = spark.createDataFrame([("s", str(i), "river mill " * (i % 3 + 1) + "stone " * i) for i in range(12)] + [("s", "null", None)], "source_id string, id string, text string")
+    index = fulltext.build_index(docs)
+    asked = spark.createDataFrame([(1, "Rivers of stone"), (2, "mill"), (3, "the"), (4, None)], "query_id int, query string")
+    got = fulltext.bm25_join(asked, index, 3).orderBy("query_id", "rank").collect()
+    want = [(q, r.id, r.score) for q, t in ((1, "Rivers of stone"), (2, "mill")) for r in fulltext.bm25_search(docs, index, t, 3).collect()]
+    assert [(r.query_id, r.id, r.score) for r in got] == want and len(got) == 6
+
+
 def test_ingest(spark, tmp_path):
     file = tmp_path / "moves.md"
     file.write_text(MOVES)
@@ -75,7 +114,7 @@ def test_ingest(spark, tmp_path):
     assert ingest_files(store, src, str(file), "doc") == 0
     rows = store.chunks("s1").orderBy("chunk_order").collect()
     assert [r.content_type for r in rows] == ["mechanic", "move", "move"]
-    assert rows[1].text == "Moves > Delve\n\n**When you delve**, roll." and rows[1].token_count == 4 and rows[1].page == ""
+    assert rows[1].text == "Moves > Ferry\n\n**When you ferry**, roll." and rows[1].token_count == 4 and rows[1].page == ""
     assert rows[0].doc_path.endswith("moves.md") and rows[0].license == "ogl" and rows[0].edition == "" and rows[0].parent_id is None
     docs = spark.createDataFrame([("x", "p", None), ("y", "p", "no heading")], "doc_id string, doc_path string, text string")
     assert ingest_documents(store, src, docs) == 0
@@ -87,8 +126,8 @@ def test_pdf(spark, tmp_path):
     store, src = ChunkStore(spark, str(tmp_path / "store")), source(tmp_path / "store")
     with pytest.raises(ValueError, match="extractor is required"):
         ingest_files(store, src, str(file), "doc")
-    assert ingest_files(store, src, str(file), "doc", extractor=GivenPages(((2, "# B\nsecond body"), (1, "# A\nfirst body")))) == 2
-    assert [(r.page, r.text) for r in store.chunks().orderBy("chunk_order").collect()] == [("1", "A\n\nfirst body"), ("2", "B\n\nsecond body")]
+    assert ingest_files(store, src, str(file), "doc", extractor=GivenPages(((2, "# Tides\nebb and flow"), (1, "# Winds\nnorth by east")))) == 2
+    assert [(r.page, r.text) for r in store.chunks().orderBy("chunk_order").collect()] == [("1", "Winds\n\nnorth by east"), ("2", "Tides\n\nebb and flow")]
     assert [r.f for r in spark.createDataFrame([("a.pdf",), ("a.PdF",), ("a.md",)], "p string").select(resolve_format(F.col("p")).alias("f")).collect()] == ["pdf", "pdf", "markdown"]
     assert read_documents(spark, str(file), "markdown").first().text == "%PDF"
 
@@ -167,9 +206,35 @@ def test_stream_and_cli(spark, tmp_path, capsys):
 def test_similarity_join(spark):
     rows = spark.createDataFrame([(str(i), [float(i % 3), 1.0]) for i in range(9)], "id string, embedding array<float>")
     queries = rows.filter("id < '2'").select(F.col("id").alias("query_id"), "embedding")
-    for most in (10, 1):
-        got = vector.similarity_join(queries, rows, 2, max_queries=most).orderBy("query_id", "rank").collect()
+    for most in (1 << 20, 1):
+        got = vector.similarity_join(queries, rows, 2, block_bytes=most).orderBy("query_id", "rank").collect()
         assert [(r.query_id, r.id) for r in got] == [("0", "0"), ("0", "3"), ("1", "1"), ("1", "4")]
+    assert vector.similarity_join(queries, rows, 0).count() == 0 and vector.similarity_join(queries.limit(0), rows, 2).count() == 0
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_similarity_join_against_all_pairs(spark, tile, monkeypatch):
+    monkeypatch.setattr(vector, "TILE", tile)
+    rng = random.Random(6)
+    vectors = [[rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)] for _ in range(60)] + [[1.0, 2.0], None, [], [0.0, 0.0, 0.0], [1.0, None, 1.0], [2.0, 4.0]]
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>").repartition(3)
+    asked = df.filter("vec_id % 4 = 0 or vec_id >= 60").withColumnRenamed("vec_id", "query_id")
+
+    def score(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b:
+            return None
+        norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / norm if norm else None
+
+    for k in (3, 65):
+        got = {(r.query_id, r["rank"]): (r.id, r.score) for r in vector.similarity_join(asked, df, k, id_col="vec_id").collect()}
+        for q, v in rows:
+            if q % 4 == 0 or q >= 60:
+                want = sorted((s is None, -round(s, 12) if s is not None else 0, i) for i, x in rows for s in [score(v, x)])[:k]
+                mine = [got[q, n] for n in range(1, k + 1)]
+                assert [i for i, _ in mine] == [i for _, _, i in want]
+                assert all(s is None if none else abs(s + w) < 1e-11 for (_, s), (none, w, _) in zip(mine, want, strict=True))
 
 
 @pytest.mark.parametrize(("word", "want"), [line.split() for line in "caresses caress|ponies poni|ties ti|cats cat|feed feed|agreed agre|plastered plaster|motoring motor|sing sing|conflated conflat|sized size|hopping hop|falling fall|hissing hiss|failing fail|filing file|happy happi|sky sky|relational relat|conditional condit|rational ration|digitizer digit|operator oper|feudalism feudal|decisiveness decis|hopefulness hope|triplicate triplic|formative form|electrical electr|goodness good|revival reviv|allowance allow|inference infer|adjustable adjust|replacement replac|adoption adopt|communism commun|effective effect|probate probat|rate rate|cease ceas|controll control|roll roll|is is".split("|")])

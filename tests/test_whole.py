@@ -19,22 +19,22 @@ def cosine(a, b):
     return dot(a, b) / (math.sqrt(dot(a, a)) * math.sqrt(dot(b, b)))
 
 
-def test_cosine_join_all(spark):
+def test_cosine_join(spark):
     vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select("vec_id", "embedding").collect()}
     want = {}
     for q in (i for i in vectors if i % 20 == 0):
         best = sorted((-cosine(v, vectors[q]), i) for i, v in vectors.items())[:5]
         want |= {(q, rank): (i, round(-s, 4)) for rank, (s, i) in enumerate(best, 1)}
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in queries.cosine_join_all(spark, DIR).collect()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in queries.cosine_join(spark, DIR).collect()}
     assert got.keys() == want.keys() and len(want) > 100
     assert all(got[k][0] == i and abs(got[k][1] - s) < 1e-4 for k, (i, s) in want.items())
 
 
-def test_token_windows_all(spark):
+def test_token_windows(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()
     texts = [(r.doc_id, r.text.replace("\n", " ").replace("|", " ")) for r in docs if r.text is not None]
     want = [(i, k, hashlib.sha256(p.encode()).hexdigest()) for i, t in texts for k, p in enumerate(plain.split(t, 50, 5, "token"))]
-    assert sorted(map(tuple, queries.token_windows_all(spark, DIR).collect())) == sorted(want)
+    assert sorted(map(tuple, queries.token_windows(spark, DIR).collect())) == sorted(want)
     assert {i for i, _, _ in want} == {i for i, _ in texts}
 
 
