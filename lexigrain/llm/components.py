@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrain.llm.skew import join_unique
 from lexigrain.storage import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return join_unique(both, least, ["a"], "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     # Each edge from its larger end; every smaller neighbour and the node itself go to the least of them.
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # What the large star leaves has few neighbours below each node; no key of these is hot.
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     joined = down.join(least, "a")
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b), component being the least node reachable; self-edges are ignored."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b), component being the least node reachable; self-edges are ignored.
+
+    Rounds go on until one changes nothing, about the square of the logarithm
+    of the longest path.
+    """
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         nxt = materialize(_small_star(_large_star(now)), "edges")
         sign = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         release(now)

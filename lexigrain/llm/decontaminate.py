@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.jaccard import without_rows
-from lexigrain.storage import ROW, bound_batches, numbered
+from lexigrain.storage import ROW, bound_batches, materialize, numbered
 
 #: Consecutive item words that make a window.
 WINDOW = 10
@@ -241,6 +241,7 @@ def items_digest(items: Sequence[str]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.0, **how) -> DataFrame:
     """The rows of ``docs``, all columns, whose share of hit words is at most ``max_share``."""
-    docs = numbered(docs)
+    names, docs = docs.columns, numbered(docs)
     found = find_items(docs, benchmark, id_col, text_col, rows=True, **how)
-    return without_rows(docs, found.filter(F.size("hits") > F.lit(max_share) * F.col("n_words")).select("row"))
+    gone = materialize(found.filter(F.size("hits") > F.lit(max_share) * F.col("n_words")).select("row"), "gone")
+    return without_rows(docs, gone, names)

@@ -21,7 +21,7 @@ Nulls and empty texts have empty sets and link with nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.components import components
-from lexigrain.storage import ROW, bound_batches, materialize, numbered
+from lexigrain.llm.skew import join_unique
+from lexigrain.storage import ROW, as_given, bound_batches, materialize, numbered, only
 
 #: Bytes of text of a block of documents, and tokens of a bucket of hashes, about.
 BLOCK_BYTES, BUCKET_TOKENS = 4 << 20, 1_000_000
@@ -173,9 +174,9 @@ def prefixes_by_rows(texts: DataFrame, size: int, percent: int, split=split_word
 
     sets = materialize(texts.select("node", "text").dropDuplicates(["node"]).mapInArrow(run, "node long, n int, members array<long>"), "members")
     rows = sets.select("node", F.explode("members").alias("token"))
-    shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").withColumn("m", F.col("df"))
     # One row per set and shared token; a set is one text's, so its list is bounded by it.
-    own = rows.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    own = join_unique(rows, shared, ["token"], "m").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
     need = F.ceil(F.col("n") * percent / 100.0).cast("int")
     early = F.filter(F.transform("own", lambda x, i: F.struct(x.token.alias("token"), (F.col("n") - F.size("own") + i).cast("int").alias("place"))), lambda x: x.place <= F.col("n") - need + 1)
     found = sets.join(own, "node", "left").withColumn("early", early)
@@ -255,7 +256,7 @@ def text_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     """(rows, classes) of a ``numbered`` table: each row's number, id, text hash and bytes; each hash's node number and its least (id, row)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = materialize(docs.select(F.col(ROW).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("h"), F.octet_length(text).cast("long").alias("bytes")), "texts")
-    classes = rows.groupBy("h").agg(F.min(F.struct("id", "row")).alias("least"), F.max("bytes").alias("bytes"))
+    classes = rows.groupBy("h").agg(F.min(F.struct("id", "row")).alias("least"), F.max("bytes").alias("bytes"), F.count("*").alias("m"))
     return rows, materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
@@ -289,30 +290,36 @@ def component_rows(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     least = found.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("head"))
     of_node = found.join(least, "component").select("node", "head")
     info = classes.join(sets.select("node", F.col("n").cast("long").alias("n_shingles")), "node").join(of_node, "node", "left")
-    info = info.select("h", "n_shingles", F.coalesce("head", "least").alias("head"))
+    info = info.select("h", "n_shingles", F.coalesce("head", "least").alias("head"), "m")
     alone = F.col("n_shingles") == 0
-    out = rows.join(info, "h")
+    out = join_unique(rows, info, ["h"], "m")
     return out.select("row", "id", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("component_id"), (alone | (F.col("row") == F.col("head.row"))).alias("first"))
 
 
 def component_ids(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", split=split_words) -> DataFrame:
     """``component_rows`` by id: ``id_col``, n_shingles, component_id."""
-    docs = numbered(docs.select(id_col, text_col))
-    return component_rows(docs, size, percent, id_col, text_col, split).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    with only(docs.sparkSession) as kept:
+        docs = numbered(docs.select(id_col, text_col))
+        found = component_rows(docs, size, percent, id_col, text_col, split).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+        kept.append(found := materialize(found, "components"))
+    return found
 
 
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with only the first row of each component."""
-    docs = numbered(docs)
-    return without_rows(docs, component_rows(docs, size, percent, id_col, text_col).filter(~F.col("first")).select("row"))
+    names, docs = docs.columns, numbered(docs)
+    with only(docs.sparkSession) as kept:
+        rows = component_rows(docs, size, percent, id_col, text_col).filter(~F.col("first")).select("row")
+        kept.append(rows := materialize(rows, "gone"))
+    return without_rows(docs, rows, names)
 
 
-def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs``, a ``numbered`` table, without the rows of these numbers and without the numbers; the numbers are sent to every executor if they are few."""
-    gone = materialize(rows.select(F.col("row").alias(ROW)), "gone")
+def without_rows(docs: DataFrame, rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``docs``, a ``numbered`` table, without the rows of a written table of numbers, under the names that it had; the numbers are sent to every executor if they are few."""
+    gone = rows.select(F.col("row").alias(ROW))
     if gone.count() <= MAX_BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, ROW, "left_anti").drop(ROW)
+    return docs.join(gone, ROW, "left_anti").select(*as_given(names))
 
 
 def link(filed: DataFrame, percent: int) -> DataFrame:
@@ -320,8 +327,8 @@ def link(filed: DataFrame, percent: int) -> DataFrame:
     posts = materialize(postings(filed, boundary(filed, percent), percent), "postings")
     hub = F.struct("k", (-F.col("node")).alias("x"), "n", "at")
     hubs = posts.groupBy("key", "l").agg(F.count("*").alias("m"), F.max(hub).alias("hub")).filter("m > 1")
-    hubs = hubs.select("key", "l", (-F.col("hub.x")).alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.at").alias("at_hub"))
-    lists = materialize(posts.join(hubs, ["key", "l"]), "lists")
+    hubs = hubs.select("key", "l", (-F.col("hub.x")).alias("hub"), F.col("hub.n").alias("n_hub"), F.col("hub.at").alias("at_hub"), "m")
+    lists = materialize(join_unique(posts, hubs, ["key", "l"], "m"), "lists")
     may = _may_link(F.col("n"), F.col("at"), F.col("n_hub"), F.col("at_hub"), F.col("l"), percent)
     star = lists.filter((F.col("node") != F.col("hub")) & may).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     star = materialize(star, "star")
@@ -332,9 +339,9 @@ def link(filed: DataFrame, percent: int) -> DataFrame:
     # Of two that link the smaller set has the key among the tokens that it may miss from one of its own size, and no set is matched beyond the size that its place allows.
     early = 2 * F.col("n") * percent <= (F.col("n") + F.col("l") - 1 - F.col("at")) * (100 + percent)
     most = F.floor((F.col("n") + F.col("l") - 1 - F.col("at")) * (100 + percent) / F.lit(float(percent))) - F.col("n")
-    now = now.withColumn("early", early).withColumn("most", most)
-    apart = now.groupBy("key", "l").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("early"), F.col("n"))).alias("least_n")).filter("lo <> hi and least_n is not null")
-    open_lists = now.join(apart.select("key", "l", "least_n"), ["key", "l"]).filter("early or most >= least_n").drop("least_n", "most")
+    now = materialize(now.withColumn("early", early).withColumn("most", most), "components")
+    apart = now.groupBy("key", "l").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("early"), F.col("n"))).alias("least_n")).filter("lo <> hi and least_n is not null")
+    open_lists = join_unique(now, apart.select("key", "l", "least_n", "m"), ["key", "l"], "m").filter("early or most >= least_n").drop("least_n", "most")
     open_lists = materialize(open_lists, "open")
     x, y = open_lists.filter("early").alias("x"), open_lists.alias("y")
     may = _may_link(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), F.col("x.l"), percent)

@@ -17,6 +17,11 @@ def fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 5
 
 
+def held_out(id_col: Column) -> Column:
+    """Whether a row is in the held-out fold; a row without id is not."""
+    return F.coalesce(fold(id_col) == 0, F.lit(False))
+
+
 def fold_of(value: object) -> int:
     """The same, of one value."""
     return zlib.crc32(str(value).encode()) % 5

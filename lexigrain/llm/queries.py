@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from lexigrain.llm import bpe, decontaminate, html_text, jaccard, labelled, line_dedup, quality, sharding, token_count, topk, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
@@ -102,18 +101,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard of SHARDS by rendezvous of its doc_id, its slot there, and its shard if one more came."""
+    """Every document's shard of SHARDS by rendezvous of its doc_id, its slot there, and its shard if one more came.
+
+    Under the law ``key`` groups of equal texts have no say: doc_id and the
+    number of shards alone decide, so copies may stand in different shards.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    dealt = sharding.shard_records(rows, "doc_id", [1.0] * SHARDS, "shard", "grown_shard")
-    out = sharding.with_slots(dealt, "shard", ("doc_id", "text_crc32", "size"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    weights = [1.0] * SHARDS
+    out = sharding.with_slots(sharding.shard_records(rows, "doc_id", weights), "shard", ("doc_id", "text_crc32", "size"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.grown(F.col("doc_id"), weights).alias("grown_shard"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that later copies of repeated runs make up, and what is left of its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = line_dedup.dedup_lines(docs, counts=True)
+    out = line_dedup.dedup_lines(docs, counts=("n_lines", "n_deleted"))
     return out.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -135,14 +138,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model)
-    return scored.select("doc_id", (labelled.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+    return scored.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (labelled.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+    return scored.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +166,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline, one after the other."""
+    import corpus_pipeline  # the script beside the entry point, which the library does without
+
     return corpus_pipeline.run(spark, sf_dir)
 
 

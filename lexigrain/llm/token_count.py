@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from lexigrain.llm.bpe import MergeTable, byte_chars
 from lexigrain.storage import bound_batches
@@ -40,9 +41,8 @@ START, LETTER, DIGIT, MARK, SPACE, APOSTROPHE = range(6)
 
 _reset = regex.compile(r"(?<=\P{White_Space})\p{White_Space}").search
 _last_reset = regex.compile(r"(?r)(?<=\P{White_Space})\p{White_Space}").search
-_letter = regex.compile(r"\p{L}").match
-_digit = regex.compile(r"\p{N}").match
-_white = regex.compile(r"\p{White_Space}").match
+#: Consecutive chunks of a text whose maps one task composes.
+FOLD_CHUNKS = 256
 
 
 class State(dict):
@@ -72,6 +72,9 @@ class Transducer:
                 self.pieces.setdefault(text[:k], -1)
             self.pieces[text] = t if self.table.stands(t) else -1
         self.classes: dict[str, int] = {}
+        if (spec["normalizer"], spec["pre_tokenizer"]["type"], spec["pre_tokenizer"]["add_prefix_space"]) != (None, "ByteLevel", False):
+            raise ValueError(f"{path} is not a plain byte-level file")
+        self.splitter = ByteLevel(add_prefix_space=False)
         self.clear()
 
     def clear(self) -> None:
@@ -89,9 +92,11 @@ class Transducer:
         return s
 
     def kind(self, c: str) -> int:
+        """The character's class, as the library's own splitter has it: whether it makes one piece with a letter, a digit or a mark."""
         k = self.classes.get(c)
         if k is None:
-            k = self.classes[c] = LETTER if _letter(c) else DIGIT if _digit(c) else SPACE if _white(c) else MARK
+            whole = lambda before: len(self.splitter.pre_tokenize_str(before + c)) == 1
+            k = self.classes[c] = LETTER if whole("a") else DIGIT if whole("1") else MARK if whole("!") else SPACE
         return k
 
     def grow(self, live: tuple, c: str) -> tuple[tuple, int]:
@@ -205,11 +210,15 @@ class Transducer:
             return (one[0], one[1] + self.count(head) + n, tail) if tail is not None else (one[0], one[1], head)
         return one[0], one[1] + self.count(one[2] + two[0]) + two[1], two[2]
 
-    def fold(self, maps: list[tuple]) -> int:
-        """Tokens of the text whose chunks have these maps, by a balanced tree."""
+    def composed(self, maps: list[tuple]) -> tuple:
+        """The map of consecutive chunks, by a balanced tree."""
         while len(maps) > 1:
             maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
+        return maps[0]
+
+    def fold(self, maps: list[tuple]) -> int:
+        """Tokens of the text whose chunks have these maps."""
+        head, n, tail = self.composed(maps)
         return self.count(head) + n + self.count(tail or "")
 
 
@@ -227,43 +236,57 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """One row per input row: the id, ``n_bytes`` (UTF-8) and ``n_tokens``.
 
     Null and empty texts have neither; repeated rows are kept; other columns
-    are not read.  Texts longer than ``chunk_chars`` are counted chunk by chunk
-    in as many rows, so one huge text is spread over tasks; only chunk maps
-    meet again, by row.
+    are not read.  Texts of ``chunk_chars`` and more are counted chunk by chunk
+    in as many rows, so one huge text is spread over tasks; their maps, and
+    nothing else, are shuffled, and composed level by level.
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # The row number is kept from the scan on: every chunk of a row gets it in the same task.
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    n = F.length("text")
-    short = F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("chunk")))
-    cut = F.transform(F.sequence(F.lit(0), F.ceil(n / chunk_chars).cast("int") - 1), lambda k: F.struct(k.alias("k"), F.substring("text", k * chunk_chars + 1, F.lit(chunk_chars)).alias("chunk")))
-    chunks = rows.select("id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.inline(F.when(n > chunk_chars, cut).otherwise(short)))
-    chunks = chunks.withColumn("whole", (F.col("k") == 0) & (F.length("chunk") < chunk_chars))
-
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(path)
-        gc.disable()
-        try:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
-                    whole = part.column(5).to_pylist()
-                    found = [("", machine.count(c), None) if w else machine.chunk_map(c) for c, w in zip(part.column(4).to_pylist(), whole, strict=True)]
-                    head, n, tail = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(head, pa.string()), pa.array(n, pa.int64()), pa.array(tail, pa.string()), part.column(5)], names=["id", "row", "n_bytes", "k", "head", "n", "tail", "whole"])
-        finally:
-            gc.enable()
-
-    mapped = chunks.mapInArrow(maps, f"id {kind}, row long, n_bytes long, k int, head string, n long, tail string, whole boolean")
-    pieces = F.collect_list(F.when(~F.col("whole"), F.struct("k", "head", "n", "tail")))
-    rejoined = mapped.groupBy("row").agg(F.min("id").alias("id"), F.min("n_bytes").alias("n_bytes"), F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("n"), F.array_sort(pieces).alias("maps"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(path)
-        for batch in batches:
-            n = [m and machine.fold([(x["head"], x["n"], x["tail"]) for x in m]) or one for one, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
-
-    return rejoined.select("id", "n_bytes", "n", "maps").mapInArrow(fold, f"id {kind}, n_bytes long, n_tokens long").toDF(id_col, "n_bytes", "n_tokens")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+
+    def on_parts(use):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = transducer(path)
+            gc.disable()
+            try:
+                for batch in batches:
+                    for lo in range(0, batch.num_rows, 512):
+                        yield use(machine, batch.slice(lo, 512))
+            finally:
+                gc.enable()
+
+        return run
+
+    def count(machine: Transducer, part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(map(machine.count, part.column(2).to_pylist()), pa.int64())], names=["id", "n_bytes", "n_tokens"])
+
+    out_schema = f"id {kind}, n_bytes long, n_tokens long"
+    whole = rows.filter(F.length("text") < chunk_chars).select("id", "n_bytes", "text").mapInArrow(on_parts(count), out_schema)
+
+    # The row number is given at the scan: every chunk of a row gets it in the same task.
+    long = rows.filter(F.length("text") >= chunk_chars).withColumn("row", F.monotonically_increasing_id())
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / chunk_chars).cast("int") - 1), lambda k: F.struct(k.alias("k"), F.substring("text", k * chunk_chars + 1, F.lit(chunk_chars)).alias("chunk")))
+
+    def maps(machine: Transducer, part: pa.RecordBatch) -> pa.RecordBatch:
+        head, n, tail = zip(*map(machine.chunk_map, part.column(4).to_pylist()), strict=True)
+        return pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(head, pa.string()), pa.array(n, pa.int64()), pa.array(tail, pa.string())], names=["id", "n_bytes", "row", "k", "head", "n", "tail"])
+
+    mapped = long.select("id", "n_bytes", "row", F.inline(cut)).mapInArrow(on_parts(maps), f"id {kind}, n_bytes long, row long, k int, head string, n long, tail string")
+
+    def gathered(df: DataFrame, *by) -> DataFrame:
+        return df.groupBy("row", *by).agg(F.min("id").alias("id"), F.min("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(F.struct("k", "head", "n", "tail"))).alias("maps"))
+
+    def composed(machine: Transducer, part: pa.RecordBatch) -> pa.RecordBatch:
+        found = [machine.composed([(x["head"], x["n"], x["tail"]) for x in m]) for m in part.column(4).to_pylist()]
+        head, n, tail = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(head, pa.string()), pa.array(n, pa.int64()), pa.array(tail, pa.string())], names=["id", "n_bytes", "row", "k", "head", "n", "tail"])
+
+    def total(machine: Transducer, part: pa.RecordBatch) -> pa.RecordBatch:
+        n = [machine.fold([(x["head"], x["n"], x["tail"]) for x in m]) for m in part.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+
+    level = gathered(mapped, F.floor(F.col("k") / FOLD_CHUNKS).cast("int").alias("k")).select("id", "n_bytes", "row", "k", "maps")
+    level = level.mapInArrow(on_parts(composed), f"id {kind}, n_bytes long, row long, k int, head string, n long, tail string")
+    folded = gathered(level).select("id", "n_bytes", "maps").mapInArrow(on_parts(total), out_schema)
+    return whole.unionByName(folded).toDF(id_col, "n_bytes", "n_tokens")

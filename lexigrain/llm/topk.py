@@ -7,12 +7,14 @@ lists of a query merge on the way up.  Nothing is broadcast, and a task's
 memory is that of a few tiles whatever the tables' sizes.
 
 Scores are inner products of whole numbers and exact: products run in doubles
-while every partial sum is below 2**53, else in Python's integers, held to the
+while every partial sum is below 2**53; the few vectors with larger components
+are multiplied in Python's integers, row by row, and their scores held to the
 range of a long.  Equal scores go to the smaller id.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,14 +24,18 @@ from pyspark.sql import functions as F
 
 #: Vectors in a tile of queries, and in one of candidates.
 QUERY_TILE, CANDIDATE_TILE = 2048, 2048
+#: Queries that are multiplied at once.
+QUERY_STEP = 512
 #: Candidates in a shard, about.
 SHARD_ROWS = 1 << 16
 _LONG = np.iinfo(np.int64)
 
 
 def quantize(x: np.ndarray) -> np.ndarray:
-    """floor(256 x), of doubles."""
-    return np.floor(256.0 * x.astype(np.float64))
+    """floor(256 x), of doubles; what is beyond the largest double is held to it."""
+    most = np.finfo(np.float64).max
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(256.0 * x.astype(np.float64)), -most, most)
 
 
 def _vectors(batch: pa.RecordBatch, scale: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -82,28 +88,39 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of the rows of two whole-number matrices, held to the range of a long."""
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)), np.int64)
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2.0**53:
+    limit = math.sqrt(2.0**52 / a.shape[1])
+    large_a, large_b = np.abs(a).max(axis=1) > limit, np.abs(b).max(axis=1) > limit
+    if not large_a.any() and not large_b.any():
         return (a @ b.T).astype(np.int64)
-    whole = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object)
-    return np.clip(whole(a) @ whole(b).T, _LONG.min, _LONG.max).astype(np.int64)
-
-
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of scores: its index, and the k best (ids, scores), ties to the smaller id, without the row's own id."""
-    width = scores.shape[1]
-    for q in range(scores.shape[0]):
-        row = scores[q]
-        if width > 4 * k + 4:
-            # All that reach the k-th best score, own id apart; ties keep every candidate, ids decide below.
-            least = np.partition(row, width - k - 1)[width - k - 1]
-            at = np.flatnonzero(row >= least)
-        else:
-            at = np.arange(width)
-        at = at[ids[at] != own[q]]
-        if len(at) < min(k, width):
-            at = np.flatnonzero(ids != own[q])
-        at = at[np.lexsort((ids[at], -row[at].astype(object) if (row[at] == _LONG.min).any() else -row[at]))[:k]]
-        yield q, ids[at], row[at]
+    out = (np.where(large_a[:, None], 0.0, a) @ np.where(large_b[:, None], 0.0, b).T).astype(np.int64)
+    whole = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape)
+    held = lambda m: np.clip(m, _LONG.min, _LONG.max).astype(np.int64)
+    if large_a.any():
+        out[large_a] = held(whole(a[large_a]) @ whole(b).T)
+    if large_b.any():
+        out[:, large_b] = held(whole(a) @ whole(b[large_b]).T)
+    return out
+
+
+def first_k(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries that are among their row's k best, rows ascending and each from the best on, ties to the smaller id."""
+    order = np.lexsort((ids, ~scores, row))  # ~x falls as x rises, without overflow
+    row, ids, scores = row[order], ids[order], scores[order]
+    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
+    place = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
+    return row[place < k], ids[place < k], scores[place < k]
+
+
+def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, score) of each row's k best without the row's own id, ties to the smaller id."""
+    other = ids[None, :] != own[:, None]
+    # The own id may be among the best: one more is taken, for each time that it is there.
+    spare = k + int((~other).sum(axis=1).max(initial=0))
+    if scores.shape[1] > spare:
+        least = np.partition(scores, scores.shape[1] - spare, axis=1)[:, scores.shape[1] - spare]
+        other &= scores >= least[:, None]
+    row, at = np.nonzero(other)
+    return first_k(row, ids[at], scores[row, at], k)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: str, k: int, scale: Callable[[np.ndarray], np.ndarray] = quantize) -> DataFrame:
@@ -117,8 +134,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: st
     spark = queries.sparkSession
     pair = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     n_queries, n_candidates = queries.count(), candidates.count()
-    blocks = max(1, math_ceil(n_queries, QUERY_TILE))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math_ceil(n_candidates, SHARD_ROWS))
+    blocks = max(1, math.ceil(n_queries / QUERY_TILE))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_candidates / SHARD_ROWS))
     dealt = pair(queries).withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int"))
 
     def pack_block(key: tuple, rows: pa.Table) -> pa.Table:
@@ -136,29 +153,23 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: st
     c = pack(pair(candidates), CANDIDATE_TILE, scale)
     c = c.withColumn("shard", F.pmod(F.xxhash64("tile"), F.lit(shards)).cast("int")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", *_names())
 
+    schema = pa.schema([("tile", pa.int64()), ("at", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"tile": [], "at": [], "query_id": [], "vec_id": [], "score": []}
+        out: list[pa.Table] = []
         for x in left.to_pylist():
             own, a = _open(x)
-            lists: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(own)
-            for name in range(right.num_rows):
-                y = {c: right.column(c)[name].as_py() for c in ("dim", "ids", "data")}
-                if y["dim"] != x["dim"]:
-                    continue
-                ids, b = _open(y)
-                for lo in range(0, len(own), 512):
-                    for i, got, score in best(products(a[lo : lo + 512], b), ids, own[lo : lo + 512], k):
-                        old = lists[lo + i]
-                        both, all_scores = np.concatenate([old[0], got]), np.concatenate([old[1], score])
-                        order = sorted(range(len(both)), key=lambda j: (-int(all_scores[j]), int(both[j])))[:k]  # noqa: B023
-                        lists[lo + i] = both[order], all_scores[order]
-            for i, (got, score) in enumerate(lists):
-                out["tile"] += [x["tile"]] * len(got)
-                out["at"] += [i] * len(got)
-                out["query_id"] += [int(own[i])] * len(got)
-                out["vec_id"] += got.tolist()
-                out["score"] += score.tolist()
-        return pa.table(out, schema=pa.schema([("tile", pa.int64()), ("at", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+            for lo in range(0, len(own), QUERY_STEP):
+                held = (np.empty(0, np.int64),) * 3
+                mine = own[lo : lo + QUERY_STEP]
+                for name in range(right.num_rows):
+                    y = {c: right.column(c)[name].as_py() for c in ("dim", "ids", "data")}
+                    if y["dim"] == x["dim"]:
+                        ids, b = _open(y)
+                        found = best(products(a[lo : lo + QUERY_STEP], b), ids, mine, k)
+                        held = first_k(*(np.concatenate(z) for z in zip(held, found, strict=True)), k)
+                out.append(pa.table({"tile": np.full(len(held[0]), x["tile"]), "at": (held[0] + lo).astype(np.int32), "query_id": mine[held[0]], "vec_id": held[1], "score": held[2]}, schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     parts = q.groupBy("block", "shard").cogroup(c.groupBy("block", "shard")).applyInArrow(multiply, "tile long, at int, query_id long, vec_id long, score long")
     order = Window.partitionBy("tile", "at").orderBy(F.col("score").desc(), "vec_id")
@@ -168,8 +179,3 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: st
 
 def _names() -> list[Column]:
     return [F.col(x) for x in ("tile", "dim", "ids", "data")]
-
-
-def math_ceil(a: int, b: int) -> int:
-    """a / b, rounded up."""
-    return -(-a // b)

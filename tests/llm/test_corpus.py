@@ -45,7 +45,7 @@ def test_sharding(spark):
 
 def check_lines(spark, tmp_path, rows, least):
     df = saved(spark, tmp_path, [(*r, "x", 9) for r in rows], "doc_id long, text string, n_lines string, seg int")
-    got = line_dedup.dedup_lines(df, min_words=least, counts=True).select("doc_id", "text", "seg").collect()
+    got = line_dedup.dedup_lines(df, min_words=least, counts=("n_lines", "gone")).select("doc_id", "text", "seg").collect()
     order = sorted(range(len(rows)), key=lambda k: rows[k][0])
     gone = brute.deleted_lines([rows[k] for k in order], least)
     want = [(rows[k][0], rows[k][1] if not gone[i] else "\n".join(x for j, x in enumerate(rows[k][1].split("\n")) if j not in gone[i]), 9) for i, k in enumerate(order)]
