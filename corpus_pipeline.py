@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrain.llm import bpe, decontaminate, jaccard, line_dedup, quality
-from lexigrain.storage import materialize
+from lexigrain.storage import materialize, only
 
 #: Documents of a lower quality score go.
 QUALITY_FROM = 0.3
@@ -28,9 +28,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Delete later copies of repeated line runs; documents that lose every line go, and n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs, counts=True)
-    changed = F.col("n_deleted") > 0
-    return out.filter(F.col("n_deleted") < F.col("n_lines")).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = line_dedup.dedup_lines(docs, counts=("__lines", "__deleted"))
+    changed = F.col("__deleted") > 0
+    return out.filter(F.col("__deleted") < F.col("__lines")).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with only(spark) as kept:
+        for name, stage in STAGES:
+            with only(spark) as left:
+                docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+                left.append(docs)
+        kept.append(docs)
     return docs

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
@@ -71,22 +71,32 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(spark, name)
     with shuffles_dropped(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
 
 
-#: Column of the numbers that ``numbered`` gives.
-ROW = "__row"
+#: Column of the numbers that ``numbered`` gives, and what a column of that name is called meanwhile.
+ROW, _GIVEN = "__row", "__row_given"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number of its own for each row in ROW, written once: whoever reads it finds the same numbers.
 
     Two scans of one input need not number its rows alike: splits are cut by
-    the cores registered when a scan is planned.
+    the cores registered when a scan is planned.  A column of that name is
+    put aside; ``as_given`` brings it back.
     """
+    if ROW in docs.columns:
+        docs = docs.withColumnRenamed(ROW, _GIVEN)
     return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def as_given(names: Sequence[str]) -> list[Column]:
+    """Columns of a ``numbered`` table under the names that its input had."""
+    return [F.col(_GIVEN).alias(ROW) if c == ROW else F.col(c) for c in names]
+
+
 #: Bytes of an Arrow batch between executor and Python worker, about.
 BATCH_BYTES = 8 << 20
 
@@ -106,22 +116,19 @@ def bound_batches(spark: SparkSession) -> None:
 def release(*frames: DataFrame) -> None:
     """Delete the files behind frames that ``materialize`` returned."""
     for df in frames:
-        paths = {f.rpartition("/")[0] for f in df.inputFiles()[:1]}
-        for path in paths:
-            _delete(df.sparkSession, path)
-            known = _written.get(df.sparkSession.sparkContext.applicationId, [])
-            known[:] = [p for p in known if p.rpartition("/")[2] != path.rpartition("/")[2]]
+        _delete(df.sparkSession, df._table_path)
+        _written.get(df.sparkSession.sparkContext.applicationId, []).remove(df._table_path)
 
 
 @contextmanager
 def only(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Tables written inside are deleted at the end, but for the frames put into the list."""
+    """Tables written inside are deleted at the end, but for those that ``materialize`` returned and that are put into the list."""
     known = _written.setdefault(spark.sparkContext.applicationId, [])
     before = set(known)
     kept: list[DataFrame] = []
     yield kept
-    stay = {f.rpartition("/")[0].rpartition("/")[2] for df in kept for f in df.inputFiles()[:1]}
-    for path in [p for p in known if p not in before and p.rpartition("/")[2] not in stay]:
+    stay = before | {df._table_path for df in kept}
+    for path in [p for p in known if p not in stay]:
         known.remove(path)
         _delete(spark, path)
 
