@@ -16,13 +16,13 @@ HEAVY_SHARE = 2000
 def join_unique(rows: DataFrame, unique: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
     """Inner join of ``rows`` with ``unique``, one row a key, whose column ``count`` tells how many rows have the key; it is left out.
 
-    ``unique`` is written once.  Heavy keys are sent to every task, fewer than
+    ``unique`` is written once, if it is no table yet.  Heavy keys are sent to every task, fewer than
     HEAVY_SHARE of them by their definition, so their rows stay where they
     are; only the others are shuffled.  ``rows`` is read twice where there are
     heavy keys and should be a table.  Null keys join with nothing.
     """
     keys = list(keys)
-    unique = materialize(unique, "unique")
+    unique = unique if hasattr(unique, "_table_path") else materialize(unique, "unique")
     total = unique.agg(F.sum(count)).first()[0] or 0
     heavy = unique.filter(F.col(count) > total / HEAVY_SHARE)
     light = unique.filter(F.col(count) <= total / HEAVY_SHARE).drop(count)

@@ -7,17 +7,20 @@ lattice of what each character may stand for; the Viterbi path under the
 language model and the cost of each disguise is the restored word.  Everything
 else is only folded.
 
-The score rests on words and word beginnings of the restored text.  Those that
-occur in hardly any clean text and in a good share of the toxic ones are taken,
-and then others greedily, each for the toxic texts that none before it
-explains, so the words that merely travel with copied toxic texts stay out.
+The score is a logistic regression on the words and word beginnings of the
+restored text, chosen by an L1 penalty: what occurs mostly in toxic texts is a
+candidate, and a candidate gets a weight only if it explains more toxic texts
+than the penalty costs, over and above the others; the chosen ones are fitted
+again under a small L2 penalty.  So words that merely
+travel with copies of toxic texts get none, whatever the number of copies:
+the words that make them toxic explain those texts and others.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,11 +39,11 @@ LEET = {
 #: Costs of reading a sign as a letter, of dropping a separator, and of dropping a repeated letter.
 LEET_COST, SEPARATOR_COST, REPEAT_COST = 1.0, 0.5, 0.5
 #: A word's beginnings of these lengths are features, and the word itself.
-BEGINNINGS = (4, 5, 6)
-#: A feature needs so many toxic texts, of which so few may be clean, and must explain so many that nothing before it does.
-MIN_TOXIC, MIN_SHARE, MIN_NEW = 4, 0.9, 4
-#: Features of so many toxic texts, and of this share of them, are all taken: no family of copies is that large.
-BROAD_TEXTS, BROAD_SHARE = 20, 0.02
+BEGINNINGS = (4, 5, 6, 7)
+#: A feature is a candidate if so many different toxic texts of the sample have it, and this share of all that do is toxic.
+MIN_TOXIC, MIN_SHARE = 4, 0.8
+#: L1 penalty, in texts: the unexplained toxic texts beyond which a feature gets weight. L2 penalty of the fit on those that do.
+PENALTY, RIDGE, ROUNDS = 2.0, 0.05, 300
 #: Decoded words kept per worker; when full the cache starts anew.
 CACHE_WORDS = 100_000
 
@@ -51,7 +54,10 @@ _CODE = {c: i + 1 for i, c in enumerate(_LETTERS)}
 _edge = ".,;:!?\"'()[]{}<>«»“”‘’…-–—_*#&%~/\\|`^=+"
 _letters = re.compile(r"[^\W\d_]")
 _disguise = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][\d@$!|+€£(¢*#%.\-_~'/]+[^\W\d_]|[\d@$!|+€£(¢]+[^\W\d_]{2}|.*[^\W\d_]{2}[\d@$€£¢]+$|.*([^\W\d_])\1\1)")
-_spelled = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+€])){2,}(?!\S)")
+_spelled = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[\s.\-_*]{1,2}(?:[^\W_]|[@$!|+€])){2,}(?!\S)")
+_between = re.compile(r"[\s.\-_*]+")
+#: Letters at either end of a spelled stretch that may be words of their own, and stretches up to which that is tried.
+OWN_WORDS, MAX_SPELLED = 2, 24
 
 
 def codes_of(words: Iterable[str]) -> np.ndarray:
@@ -154,11 +160,13 @@ def restored(text: str | None, decode) -> set[str]:
             out.add(decode(w))
         elif t.isalpha() and _disguise.match(t):
             out.add(decode(t))
-    if " " in folded:
-        for m in _spelled.finditer(folded):
-            letters = re.sub(r"[ .\-_*]", "", m[0])
-            if _letters.search(letters):
-                out.add(decode(letters))
+    for m in _spelled.finditer(folded):
+        letters = _between.sub("", m[0])
+        if _letters.search(letters):
+            out.add(decode(letters))
+            # Words of one letter may stand before and behind the one that is spelled.
+            if len(letters) <= MAX_SPELLED:
+                out.update(decode(letters[i : len(letters) - j]) for i in range(OWN_WORDS + 1) for j in range(OWN_WORDS + 1) if i + j and len(letters) - i - j >= 3)
     out.discard("")
     return out
 
@@ -168,44 +176,89 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
+class _Decodings(dict):
+    """Decoded words by word, bounded."""
+
+    def __init__(self, decoder: Decoder):
+        super().__init__()
+        self.decoder = decoder
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        self[w] = out = self.decoder.decode(w)
+        return out
+
+
 @dataclass
 class Model:
-    """Language model and feature shares."""
+    """Language model, weights of features, and the log odds of a text without any."""
 
     counts: np.ndarray
-    shares: dict[str, float] = field(default_factory=dict)
-    base: float = 0.0
+    weights: dict[str, float] = field(default_factory=dict)
+    bias: float = -math.inf
 
     def scorer(self):
         """A function from text to score, with caches of its own."""
-        decoder, words, hits = Decoder(self.counts), {}, {}
+        decode, hits, weights = _Decodings(Decoder(self.counts)).__getitem__, {}, self.weights
 
-        def decode(w: str) -> str:
-            if w not in words:
-                if len(words) > CACHE_WORDS:
-                    words.clear()
-                words[w] = decoder.decode(w)
-            return words[w]
-
-        shares = self.shares
-
-        def hit(w: str) -> tuple[str, float] | None:
+        def hit(w: str) -> tuple[str, ...]:
             if w not in hits:
                 if len(hits) > CACHE_WORDS:
                     hits.clear()
-                hits[w] = max(((shares[f], f) for f in features_of(w) if f in shares), default=None)
+                hits[w] = tuple(f for f in features_of(w) if f in weights)
             return hits[w]
 
         def score(text: str | None) -> float:
-            found = {h[1]: h[0] for h in map(hit, restored(text, decode)) if h}
-            clean = 1.0 - self.base
-            for p in found.values():
-                clean *= 1.0 - p
-            return min(1.0, max(0.0, 1.0 - clean))
+            found = {f for w in restored(text, decode) for f in hit(w)}
+            # Summed in order, so that a text's score does not depend on the process.
+            return _sigmoid(self.bias + sum(weights[f] for f in sorted(found)))
 
         return score
 
 
+def _sigmoid(x: float) -> float:
+    return 1.0 / (1.0 + math.exp(-x)) if x > -700 else 0.0
+
+
+def logistic(texts: Sequence[Sequence[int]], labels: np.ndarray, n_features: int, n_clean: int, l1: float, l2: float) -> tuple[np.ndarray, float]:
+    """Weights and bias of the penalised fit on texts as sets of features, and ``n_clean`` more clean texts without any.
+
+    Accelerated proximal gradient.  Weights are not negative: features are
+    evidence of toxicity, and a missing one is none.
+    """
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    cols = np.fromiter((f for t in texts for f in t), np.int64, len(rows))
+    # A text's gradient reaches all its features at once: the step is bounded by features a text times texts a feature.
+    most = max((len(t) for t in texts), default=0) + 1
+    step = 1.0 / (np.maximum(np.bincount(cols, minlength=n_features), 1) * most / 4 + l2)
+    bias_step = 4.0 / ((len(texts) + n_clean) * most)
+    w = v = np.zeros(n_features)
+    bias = bias_v = math.log((labels.sum() + 0.5) / (n_clean + len(labels) - labels.sum() + 0.5))
+    pace = 1.0
+    for _ in range(ROUNDS):
+        p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(rows, v[cols], len(texts)) + bias_v, -50, 50)))
+        grad = np.bincount(cols, (p - labels)[rows], n_features) + l2 * v
+        new = np.maximum(v - step * (grad + l1), 0.0)
+        new_bias = bias_v - bias_step * ((p - labels).sum() + n_clean * _sigmoid(bias_v))
+        ahead = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        v, bias_v = new + (pace - 1) / ahead * (new - w), new_bias + (pace - 1) / ahead * (new_bias - bias)
+        w, bias, pace = new, new_bias, ahead
+    return w, bias
+
+
+def select_and_fit(texts: Sequence[Sequence[int]], labels: np.ndarray, n_features: int, n_clean: int) -> tuple[np.ndarray, float]:
+    """Features by the L1 penalty, then weights of those by a fit that does not shrink them so."""
+    first, _ = logistic(texts, labels, n_features, n_clean, PENALTY, 0.0)
+    chosen = np.flatnonzero(first > 1e-6)
+    at = np.full(n_features, -1)
+    at[chosen] = np.arange(len(chosen))
+    own = [[int(at[f]) for f in t if at[f] >= 0] for t in texts]
+    weights = np.zeros(n_features)
+    weights[chosen], bias = logistic(own, labels, len(chosen), n_clean, 0.0, RIDGE)
+    return weights, bias
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int = MAX_FIT_ROWS) -> Model:
     """Count trigrams over all documents; learn features on at most about ``max_rows`` labelled rows.
 
@@ -217,13 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
     sample = training_rows(docs, labels, target, max_rows=max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, cache = Decoder(sent.value), {}
-
-        def decode(w: str) -> str:
-            if w not in cache:
-                cache[w] = decoder.decode(w)
-            return cache[w]
-
+        decode = _Decodings(Decoder(sent.value)).__getitem__
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -240,52 +287,28 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
     model = Model(counts)
     if not totals.n or not totals.t:
         return model
-    rows = distinct.select("id", "label", F.explode("features").alias("feature"))
+    rows = distinct.select("label", F.explode("features").alias("feature"))
     usable = rows.groupBy("feature").agg(F.sum(toxic.cast("int")).alias("t"), F.count("*").alias("n")).filter((F.col("t") >= MIN_TOXIC) & (F.col("t") >= MIN_SHARE * F.col("n")))
-    # Both lists are bounded by the sample's toxic texts.
-    stats = {r.feature: (r.t, r.n) for r in usable.collect()}
-    kept = docs.sparkSession.sparkContext.broadcast(frozenset(stats))
+    # Bounded by the words of the sample's toxic texts, as are the sets below.
+    names = sorted(r.feature for r in usable.select("feature").collect())
+    kept = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
-    def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [[f for f in fs if f in kept.value] for fs in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], names=["features"])
-
-    texts = [set(r.features) for r in distinct.filter(toxic).select("features").mapInArrow(of_toxic, "features array<string>").toLocalIterator()]
-    broad = {f for f, (t, _) in stats.items() if t >= max(BROAD_TEXTS, BROAD_SHARE * len(texts))}
-    chosen = sorted(broad.union(choose(texts, stats)))
-    model.shares = {f: (stats[f][0] + 0.2) / (stats[f][1] + 0.4) for f in chosen}
-    missed = sum(not (t & model.shares.keys()) for t in texts)
-    model.base = missed / max(1, missed + totals.n - totals.t)
+            own = [sorted(kept.value[f] for f in fs if f in kept.value) for fs in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["label", "features"])
+
+    held = distinct.select("label", "features").mapInArrow(numbered, "label int, features array<int>").filter(toxic | (F.size("features") > 0)).collect()
+    held.sort(key=lambda r: (r.label, r.features))
+    labels_ = np.array([r.label for r in held], float)
+    weights, model.bias = select_and_fit([r.features for r in held], labels_, len(names), totals.n - len(held))
+    model.weights = {f: float(w) for f, w in zip(names, weights, strict=True) if w > 1e-6}
     release(seen)
     return model
 
 
-def choose(texts: list[set[str]], stats: dict[str, tuple[int, int]]) -> list[str]:
-    """Features taken greedily, each the one that most of the texts left have; ties to the shorter, then the first in order."""
-    holders: dict[str, set[int]] = {}
-    for i, t in enumerate(texts):
-        for f in t:
-            holders.setdefault(f, set()).add(i)
-    left = Counter({f: len(h) for f, h in holders.items()})
-    chosen, explained = [], set()
-    while left:
-        f, n = min(left.items(), key=lambda x: (-x[1], len(x[0]), x[0]))
-        if n < MIN_NEW:
-            break
-        chosen.append(f)
-        for i in holders[f] - explained:
-            explained.add(i)
-            for g in texts[i]:
-                left[g] -= 1
-                if not left[g]:
-                    del left[g]
-        left.pop(f, None)
-    return chosen
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: the id and its score from 0 to 1; null and empty texts score the base rate. No shuffle."""
+    """One row per row: the id and its score from 0 to 1; null and empty texts score the rate of toxic texts without any feature. No shuffle."""
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
