@@ -1,16 +1,16 @@
-"""Benchmark decontamination with a positional inverted index.
-
-Training text is indexed shard by shard: a shard is a stretch of consecutive
-documents whose word stream is numbered through, and its index lists, for each
-term that the benchmark uses, the positions where it stands.  A phrase is found
-by intersecting the lists of its terms, each moved back by the term's place in
-the phrase, beginning with the rarest in that shard; most phrases end at an
-empty list.  Proximity queries use the same lists.
-
-Each shard lives in one task and is dropped when searched, so nothing is
-shuffled; ``index_postings`` returns the postings as a table for those who want
-to keep them.  The benchmark is sent to the executors in blocks of bounded
-size; a larger one takes more than one pass.
+"""Benchmark decontamination with a stored positional inverted index.
+
+Training text is indexed in segments: a segment is a stretch of consecutive
+documents whose word stream is numbered through, and holds, for every term,
+the ascending positions where it stands.  The index is written to the shared
+folder once, as one row a segment, and every search reads it instead of the
+texts; a benchmark of many blocks indexes the corpus once.
+
+A phrase is filed under its rarest term, by how often the whole corpus has
+each.  A segment takes up only the phrases whose rarest term it has, and
+intersects the lists of their terms, each moved back by the term's place in
+the phrase, from the rarest on.  Proximity queries use the same lists.
+Nothing is shuffled but the terms' counts.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.jaccard import without_rows
@@ -32,8 +32,10 @@ from lexigrain.storage import ROW, bound_batches, materialize, numbered
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one pass sends to the executors.
 BLOCK_BYTES = 16 << 20
-#: Words of a shard of the index, about.
-SHARD_WORDS = 150_000
+#: Words of a segment of the index, about.
+SEGMENT_WORDS = 150_000
+#: Positions between documents of a segment: more than any phrase spans.
+GAP = 64
 
 # Lower-cases A-Z; turns ASCII that is neither a letter nor a digit into spaces.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -69,55 +71,83 @@ class Phrases:
         return np.array(rows, np.int64).reshape(-1, width), [tuple(sorted(x)) for x in self.windows.values()]
 
 
-class Index:
-    """Positions of the benchmark's terms in one shard of documents."""
-
-    def __init__(self, texts: Sequence[str | None], terms: dict[bytes, int], gap: int):
-        split = [words(t) for t in texts]
-        self.n_words = np.array([len(w) for w in split], np.int64)
-        # Documents are set apart by a gap that no phrase spans.
-        self.starts = np.concatenate([[0], np.cumsum(self.n_words + gap)])
-        known = np.full(int(self.starts[-1]), -1, np.int64)
-        get = terms.get
-        for at, w in zip(self.starts, split, strict=False):
-            known[at : at + len(w)] = [get(x, -1) for x in w]
-        here = np.flatnonzero(known >= 0)
-        order = here[np.argsort(known[here], kind="stable")]
-        self.positions = order
-        self.begin = np.searchsorted(known[order], np.arange(len(terms) + 1))
-        self.lengths = np.diff(self.begin)
+class _Numbers(dict):
+    """Terms by first use."""
+
+    def __missing__(self, term: bytes) -> int:
+        self[term] = n = len(self)
+        return n
+
+
+def segment_of(texts: Sequence[str | None]) -> tuple[np.ndarray, bytes, np.ndarray, bytes]:
+    """(words of each text, terms joined by blanks, positions of each term, gaps between them) of a stretch of texts.
+
+    A term's first position counts from 0; gaps are stored by byte plane, most
+    of which are zeros.
+    """
+    split = [words(t) for t in texts]
+    n_words = np.array([len(w) for w in split], np.int64)
+    numbers = _Numbers()
+    term = np.fromiter((n for w in split for n in map(numbers.__getitem__, w)), np.int64, int(n_words.sum()))
+    position = np.arange(len(term)) + np.repeat(np.arange(len(split)) * GAP, n_words)
+    order = np.argsort(term, kind="stable")
+    position, counts = position[order], np.bincount(term, minlength=len(numbers))
+    gaps = np.diff(position, prepend=0)
+    begin = np.cumsum(counts) - counts
+    gaps[begin] = position[begin]
+    return n_words, b" ".join(numbers), counts, gaps.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes()
+
+
+class Segment:
+    """A stored segment, opened: positions of those of its terms that a benchmark uses."""
+
+    def __init__(self, n_words: np.ndarray, terms: bytes, counts: np.ndarray, gaps: bytes, wanted: dict[bytes, int]):
+        self.n_words = n_words
+        self.starts = np.concatenate([[0], np.cumsum(n_words + GAP)])
+        found = ((wanted.get(t), k) for k, t in enumerate(terms.split(b" ")) if t)
+        #: The segment's own number of each wanted term that it has.
+        self.own = {t: k for t, k in found if t is not None}
+        self.end = np.cumsum(counts)
+        self.counts = counts
+        planes = np.frombuffer(gaps, np.uint8).reshape(5, -1)
+        self.gaps = sum(planes[i].astype(np.int64) << (8 * (4 - i)) for i in range(5) if planes[i].any()) if planes.size else _NONE
+        if np.isscalar(self.gaps):
+            self.gaps = np.zeros(planes.shape[1], np.int64)
+        self.lists: dict[int, np.ndarray] = {}
 
     def list(self, term: int) -> np.ndarray:
         """Ascending positions of a term."""
-        return self.positions[self.begin[term] : self.begin[term + 1]]
-
-    def phrase(self, terms: Sequence[int]) -> np.ndarray:
-        """Positions where the terms stand in a row."""
+        at = self.lists.get(term)
+        if at is None:
+            k = self.own.get(term)
+            at = self.lists[term] = _NONE if k is None else np.cumsum(self.gaps[self.end[k] - self.counts[k] : self.end[k]])
+        return at
+
+    def phrase(self, terms: Sequence[int], order: Sequence[int]) -> np.ndarray:
+        """Positions where the terms stand in a row; order: their places, rarest first."""
         found: np.ndarray | None = None
-        for k in sorted(range(len(terms)), key=lambda k: self.lengths[terms[k]]):
+        for k in order:
             at = self.list(terms[k]) - k
-            found = at if found is None else found[_member(found, at)]
+            found = at if found is None else found[_member(found, at)] if len(at) else _NONE
             if not len(found):
                 return _NONE
         return _NONE if found is None else found
 
-    def near(self, terms: Sequence[int], span: int) -> np.ndarray:
-        """Positions of the rarest term around which each other term stands at a distance under ``span``, in any order."""
+    def near(self, terms: Sequence[int], order: Sequence[int], span: int) -> np.ndarray:
+        """Positions of the rarest term around which each other term stands at a distance under ``span``, in any order, in one document."""
         found: np.ndarray | None = None
-        for t in sorted(set(terms), key=lambda t: self.lengths[t]):
+        for t in dict.fromkeys(terms[k] for k in order):
             at = self.list(t)
             if found is None:
                 found = at
             else:
-                found = found[np.searchsorted(at, found - span + 1) < np.searchsorted(at, found + span)]
+                doc = self.document(found)
+                low, high = np.maximum(found - span + 1, self.starts[doc]), np.minimum(found + span, self.starts[doc + 1])
+                found = found[np.searchsorted(at, low) < np.searchsorted(at, high)]
             if not len(found):
                 return _NONE
         return _NONE if found is None else found
 
-    def possible(self, windows: np.ndarray) -> np.ndarray:
-        """Numbers of the windows all of whose terms occur in the shard."""
-        return np.flatnonzero(np.where(windows >= 0, self.lengths[windows], 1).min(axis=1) > 0)
-
     def document(self, positions: np.ndarray) -> np.ndarray:
         """Document number of each position."""
         return np.searchsorted(self.starts, positions, side="right") - 1
@@ -129,14 +159,14 @@ def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[at] == x
 
 
-def _shards(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Stretches of the batch of about SHARD_WORDS words each."""
+def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of the batch of about SEGMENT_WORDS words each."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)) // 6
     lo = 0
     total = np.cumsum(size)
     while lo < batch.num_rows:
         before = total[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(total, before + SHARD_WORDS)))
+        hi = max(lo + 1, int(np.searchsorted(total, before + SEGMENT_WORDS)))
         yield batch.slice(lo, hi - lo)
         lo = hi
 
@@ -150,6 +180,45 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
 
 
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
+    """The stored index: one row a segment with its documents' ids, ``row`` numbers and sizes, its terms, and their positions. Null texts have no words."""
+    bound_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    number = F.monotonically_increasing_id() if row is None else row
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), number.alias("row"))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _stretches(batch):
+                n_words, terms, counts, gaps = segment_of(part.column(1).to_pylist())
+                one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind))
+                yield pa.RecordBatch.from_arrays([one(part.column(0), part.column(0).type), one(part.column(2), pa.int64()), one(n_words, pa.int64()), pa.array([terms], pa.binary()), one(counts, pa.int32()), pa.array([gaps], pa.binary())], names=["ids", "rows", "n_words", "terms", "counts", "gaps"])
+
+    return materialize(texts.mapInArrow(index, f"ids array<{kind}>, rows array<long>, n_words array<long>, terms binary, counts array<int>, gaps binary"), "postings")
+
+
+def term_counts(index: DataFrame, wanted: dict[bytes, int]) -> np.ndarray:
+    """How often the corpus has each wanted term; one row a term comes to the driver, which has the terms already."""
+    sent = index.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = counts.values.to_numpy()
+                pairs = [(t, k) for k, t in enumerate(map(sent.value.get, terms.split(b" "))) if t is not None] if terms else []
+                if pairs:
+                    at = np.array(pairs)
+                    total[at[:, 0]] += n[at[:, 1]]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "n"])
+
+    out = np.zeros(len(wanted), np.int64)
+    for r in index.select("terms", "counts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.term] = r.n
+    return out
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, span: int | None = None, rows: bool = False) -> DataFrame:
     """One row per document row: ``id_col`` (with ``rows``, before it row, its number in ``docs``, a ``numbered`` table), n_words, hits (array of hit word positions), items (sorted array of item ids as strings).
 
@@ -159,77 +228,93 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     empty texts have no words; repeated rows are kept; an empty benchmark hits
     nothing; items with null ids count as "None".
     """
-    bound_batches(docs.sparkSession)
+    if window > GAP:
+        raise ValueError(f"a window has at most {GAP} words")
     kind = docs.schema[id_col].dataType.simpleString()
-    blocks = []
+    index = build_index(docs, id_col, text_col, F.col(ROW) if rows else None)
+    context = docs.sparkSession.sparkContext
+    passes = []
     for items in _blocks(benchmark, item_col, item_text_col):
         phrases = Phrases.of(items, window)
-        blocks.append(docs.sparkSession.sparkContext.broadcast((phrases.terms, *phrases.arrays())))
-    # More than one pass is more than one scan, and what they find of a row is put together by its number.
-    if not rows and len(blocks) > 1:
-        docs = numbered(docs.select(id_col, text_col))
-    row = F.col(ROW) if rows or len(blocks) > 1 else F.lit(0).cast("long")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
-    passes = []
-    for sent in blocks:
+        windows, owners = phrases.arrays()
+        filed = _filed(windows, term_counts(index, phrases.terms))
+        sent = context.broadcast((phrases.terms, windows, owners, *filed))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            terms, windows, owners = sent.value
-            sizes = (windows >= 0).sum(axis=1) if len(windows) else _NONE
+            terms, windows, owners, orders, by_rarest = sent.value
             for batch in batches:
-                for part in _shards(batch):
-                    index = Index(part.column(1).to_pylist(), terms, gap=max(window, span or 0) + 1)
-                    marks = np.zeros(int(index.starts[-1]) + 1, np.int64)
-                    found: list[set[str]] = [set() for _ in range(part.num_rows)]
-                    for w in index.possible(windows) if len(windows) else ():
-                        phrase = windows[w, : sizes[w]].tolist()
-                        at = index.phrase(phrase) if span is None else index.near(phrase, span)
-                        np.add.at(marks, at, 1)
-                        np.add.at(marks, at + (sizes[w] if span is None else 1), -1)
-                        for d in np.unique(index.document(at)):
-                            found[d].update(owners[w])
+                for k in range(batch.num_rows):
+                    ids, row, n_words, blob, counts, gaps = (c[k] for c in batch.columns)
+                    segment = Segment(n_words.values.to_numpy(), blob.as_py(), counts.values.to_numpy(), gaps.as_py(), terms)
+                    marks = np.zeros(int(segment.starts[-1]) + 1, np.int64)
+                    found: list[set[str]] = [set() for _ in range(len(segment.n_words))]
+                    for t in segment.own:
+                        for w in by_rarest.get(t, ()):
+                            order = orders[w]
+                            phrase = windows[w, : len(order)].tolist()
+                            at = segment.phrase(phrase, order) if span is None else segment.near(phrase, order, span)
+                            if not len(at):
+                                continue
+                            np.add.at(marks, at, 1)
+                            np.add.at(marks, at + (len(order) if span is None else 1), -1)
+                            for d in np.unique(segment.document(at)):
+                                found[d].update(owners[w])
                     hit = np.flatnonzero(np.cumsum(marks) > 0)
-                    of = index.document(hit)
-                    bounds = np.searchsorted(of, np.arange(part.num_rows + 1))
-                    hits = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hit - index.starts[of], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(index.n_words), hits, pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=["id", "row", "n_words", "hits", "items"])
+                    of = segment.document(hit)
+                    bounds = np.searchsorted(of, np.arange(len(found) + 1))
+                    hits = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hit - segment.starts[of], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids.values, row.values, n_words.values, hits, pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=["id", "row", "n_words", "hits", "items"])
 
-        passes.append(texts.mapInArrow(search, f"id {kind}, row long, n_words long, hits array<long>, items array<string>"))
+        passes.append(index.mapInArrow(search, f"id {kind}, row long, n_words long, hits array<long>, items array<string>"))
     if len(passes) == 1:
         out = passes[0]
     else:
         both = passes[0]
         for p in passes[1:]:
             both = both.unionByName(p)
+        # What the blocks find of a row is put together by its number, which the index holds.
         gather = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
         out = both.groupBy("row").agg(F.min("id").alias("id"), F.min("n_words").alias("n_words"), gather("hits").alias("hits"), gather("items").alias("items"))
     return out.select(*(["row"] if rows else []), F.col("id").alias(id_col), "n_words", "hits", "items")
 
 
+def _filed(windows: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[int, ...]], dict[int, list[int]]]:
+    """For each window its places from the rarest term on, and the windows of each rarest term; those with a term that the corpus has not are left out."""
+    orders: list[tuple[int, ...]] = []
+    by_rarest: dict[int, list[int]] = {}
+    for w, terms in enumerate(windows.tolist()):
+        size = terms.index(-1) if -1 in terms else len(terms)
+        order = tuple(sorted(range(size), key=lambda k: (counts[terms[k]], k)))
+        orders.append(order)
+        if size and counts[terms[order[0]]]:
+            by_rarest.setdefault(terms[order[0]], []).append(w)
+    return orders, by_rarest
+
+
 def index_postings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The positional index as a table: term, ``id_col``, positions (ascending array), for the benchmark's terms."""
+    """The positional index by term: term, ``id_col``, positions (ascending array), for the benchmark's terms."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = None
+    index, out = build_index(docs, id_col, text_col), None
     for items in _blocks(benchmark, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(Phrases.of(items).terms)
 
         def post(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            terms = sent.value
+            names = list(sent.value)
             for batch in batches:
-                ids, term, at = [], [], []
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own: dict[bytes, list[int]] = {}
-                    for k, w in enumerate(words(text)):
-                        if w in terms:
-                            own.setdefault(w, []).append(k)
-                    for w, positions in own.items():
-                        ids.append(i)
-                        term.append(w.decode())
-                        at.append(positions)
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(ids, batch.column(0).type), pa.array(at, pa.list_(pa.int64()))], names=["term", "id", "positions"])
-
-        part = rows.mapInArrow(post, f"term string, id {kind}, positions array<long>")
+                for k in range(batch.num_rows):
+                    ids, _, n_words, blob, counts, gaps = (c[k] for c in batch.columns)
+                    segment = Segment(n_words.values.to_numpy(), blob.as_py(), counts.values.to_numpy(), gaps.as_py(), sent.value)
+                    term, of, places = [], [], []
+                    for t in segment.own:
+                        at = segment.list(t)
+                        doc = segment.document(at)
+                        for d in np.unique(doc):
+                            term.append(names[t].decode())
+                            of.append(d)
+                            places.append(at[doc == d] - segment.starts[d])
+                    yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), ids.values.take(pa.array(of, pa.int64())), pa.array(places, pa.list_(pa.int64()))], names=["term", "id", "positions"])
+
+        part = index.mapInArrow(post, f"term string, id {kind}, positions array<long>")
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("id", id_col).dropDuplicates(["term", id_col, "positions"])
 
