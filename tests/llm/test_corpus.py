@@ -1,16 +1,19 @@
 from __future__ import annotations
 
+import math
 import random
+import struct
 import zlib
 from collections import Counter
 
 import brute
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexigrain import storage
-from lexigrain.llm import components, decontaminate, jaccard, line_dedup, sharding, topk
+from lexigrain.llm import components, decontaminate, jaccard, labelled, line_dedup, queries, sharding, skew, topk
 
 
 def saved(spark, tmp_path, rows, schema, files=3):
@@ -40,6 +43,57 @@ def test_sharding(spark):
     assert sharding.with_slots(sharding.shard_records(df.limit(0), "doc_id", [1.0])).count() == 0
 
 
+def test_slots_do_not_depend_on_settings(spark):
+    df = spark.range(500).select((F.col("id") % 90).alias("doc_id"), F.lit("t").alias("text")).withColumn("shard", F.col("doc_id") % 3)
+    got = []
+    for n in (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        got.append(sorted(map(tuple, sharding.with_slots(df, "shard", ("doc_id", "text")).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] and len(got[0]) == 500
+
+
+def test_sharding_query_by_hand(spark, tmp_path):
+    """The query against rendezvous hashing written out, rows that repeat often and nulls included."""
+    rows = [(i, f"text {i % 7} é") for i in range(300)] + [(5, "same")] * 200 + [(None, "n"), (8, None), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_sharding(spark, str(tmp_path)).collect()
+
+    def shard(doc, n):
+        own = xxhash.xxh64_intdigest(struct.pack("<q", doc), seed=42) if doc is not None else 42
+        unit = lambda i: ((xxhash.xxh64_intdigest(struct.pack("<i", i), seed=own) >> 11) + 0.5) / 2**53
+        return min(range(n), key=lambda i: (-math.log(unit(i)), i))
+
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "key", shard(i, 24), shard(i, 25)) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law, r.shard, r.grown_shard) for r in got) == want
+    for s in range(24):
+        own = sorted(r.slot for r in got if r.shard == s)
+        assert own == list(range(len(own)))
+    assert all(r.grown_shard in (r.shard, 24) for r in got)
+
+
+def test_join_of_heavy_keys(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HEAVY_SHARE", 10)
+    rows = spark.createDataFrame([(1, i) for i in range(300)] + [(i, i) for i in range(2, 60)] + [(None, 0)] * 50, "k long, x long")
+    unique = rows.groupBy("k").agg(F.count("*").alias("m"), F.min("x").alias("least"))
+    got = skew.join_unique(rows, unique, ["k"], "m")
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    assert Counter(map(tuple, got.collect())) == Counter([(1, i, 0) for i in range(300)] + [(i, i, i) for i in range(2, 60)])
+
+
+def test_columns_that_clash(spark, tmp_path):
+    rows = [(i, "a b c\nd e f\n" + "g " * (i % 3), i * 7, "x", f"d{i}") for i in range(9)]
+    df = saved(spark, tmp_path, rows, "doc_id long, text string, __row long, n_lines string, n_deleted string")
+    out = line_dedup.dedup_lines(df, min_words=3)
+    assert out.columns == df.columns and all(r["__row"] == r.doc_id * 7 and r.n_deleted == f"d{r.doc_id}" for r in out.collect())
+    counted = line_dedup.dedup_lines(df, min_words=3, counts=("n_lines", "n_deleted"))
+    assert sorted(counted.columns) == sorted(df.columns) and counted.filter("n_deleted > 0").count() == 8
+    kept = jaccard.keep_first(df, size=2, percent=90)
+    assert kept.columns == df.columns and all(r["__row"] == r.doc_id * 7 for r in kept.collect())
+    clean = decontaminate.decontaminate(df, spark.createDataFrame([(1, "f g g")], "item_id long, text string"))
+    assert clean.columns == df.columns and {r["__row"] for r in clean.collect()} == {r[2] for r in rows if r[0] % 3 < 2}
+
+
 # Line dedup.
 
 
@@ -171,10 +225,20 @@ def test_top_k(spark):
     assert topk.products(np.array([[2.0**40, 3.0]]), np.array([[2.0**40, 1.0]]))[0, 0] == np.iinfo(np.int64).max
 
 
-def test_fold():
-    from lexigrain.llm.labelled import fold_of
+def test_large_components(spark):
+    rows = [(0, [1e306, 1.0]), (1, [1.0, -1.0]), (2, [-1e308, 1.0]), (3, [2.0**40, 0.5]), (4, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df, "vec_id", "embedding", 5).collect()}
+    whole = {i: [int(np.floor(min(max(256.0 * x, -1.7976931348623157e308), 1.7976931348623157e308))) for x in v] for i, v in rows}
+    for i, q in whole.items():
+        scores = {j: min(max(sum(a * b for a, b in zip(q, v, strict=True)), -(2**63)), 2**63 - 1) for j, v in whole.items() if j != i}
+        want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+        assert [got[i, k] for k in range(1, 5)] == want
+
 
-    assert fold_of(12) == zlib.crc32(b"12") % 5 and F is not None
+def test_fold(spark):
+    got = spark.createDataFrame([(12,), (None,)], "doc_id long").select(labelled.held_out(F.col("doc_id")).alias("h")).collect()
+    assert labelled.fold_of(12) == zlib.crc32(b"12") % 5 and [r.h for r in got] == [labelled.fold_of(12) == 0, False]
 
 
 # Row numbers.

@@ -3,9 +3,12 @@ from __future__ import annotations
 import random
 import runpy
 
+import brute
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lexigrain.llm import labelled, quality, toxicity
@@ -115,6 +118,35 @@ def test_pipeline(spark):
     assert copies and sum(r.doc_id in kept for r in copies) <= 0.05 * len(copies)
 
 
+def test_pipeline_by_hand(spark, tmp_path):
+    """Every stage against its brute force, on what the stage before it kept."""
+    rng = random.Random(3)
+    words = ["the", "of", "and", *(f"w{i}" for i in range(300))]
+    text = lambda n: "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(n))
+    shared = text(6)
+    rows = [(i, text(rng.randint(2, 8)) if i % 5 else text(2) + "\n" + shared + "\n" + text(1)) for i in range(60)]
+    rows += [(100 + i, rows[i][1]) for i in range(6)] + [(200 + i, rows[i + 10][1].replace("w1 ", "w2 ", 1)) for i in range(6)] + [(300, None), (301, ""), (302, "!! " * 90)]
+    items = [(1, " ".join(rows[22][1].split()[5:17])), (2, "not there")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i != 302)) for i, _ in rows if i % 2 == 0], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    read = lambda name: spark.read.parquet(str(tmp_path / f"{name}.parquet"))
+
+    scored = quality.score(read("documents"), quality.fit(read("documents"), read("labels"))).collect()
+    now = sorted((r.doc_id, r.text) for r in scored if r.score >= 0.3)
+    gone = brute.deleted_lines(now, 50)
+    lines = [[x for j, x in enumerate((t or "").split("\n")) if j not in gone[k]] for k, (_, t) in enumerate(now)]
+    now = [(i, t if not gone[k] else "\n".join(lines[k])) for k, (i, t) in enumerate(now) if lines[k]]
+    found = brute.components(now, 5, 80)
+    now = [(i, t) for i, t in now if found[i][1] == i]
+    now = [x for x, (_, hit, _) in zip(now, brute.windows_hit([t for _, t in now], items, 10), strict=True) if not hit]
+    library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in now}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want)
+    assert 22 not in want and not any(100 <= i < 300 for i in want) and len(want) > 30
+
+
 def test_entry_lists_operators():
     entry = runpy.run_path(str(__import__("pathlib").Path(corpus_pipeline.__file__).parent / "__spark_entry__.py"))
     names = set(entry["queries"]())

@@ -56,6 +56,17 @@ def test_count_is_the_librarys():
         assert own.fold(maps) == want, (text, size)
 
 
+def test_every_plane_is_the_librarys():
+    """Code points that only some Unicode versions know as letters, and texts of all planes."""
+    own, library = token_count.Transducer(BYTE), Tokenizer.from_file(BYTE)
+    rng = random.Random(9)
+    some = ["\U00018f88\u8ae1", "a\U0001e4f0 1\U0001e4f1"]
+    some += ["".join(chr(c) for c in (rng.randrange(0x110000) for _ in range(14)) if not 0xD800 <= c < 0xE000) for _ in range(1500)]
+    some += ["".join(rng.choice("a1! '") + chr(rng.randrange(0x10000, 0x32000)) for _ in range(6)) for _ in range(1500)]
+    for text in some:
+        assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
 def test_states_start_anew(monkeypatch):
     monkeypatch.setattr(token_count, "MAX_STATES", 5)
     own, library = token_count.Transducer(BYTE), Tokenizer.from_file(BYTE)
