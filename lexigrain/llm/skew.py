@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lexigrain.storage import materialize
 
 #: A key is heavy if it has more than one in so many of the rows; so there are fewer heavy keys than this, whatever the tables.
-HEAVY_SHARE = 2000
+#: Lighter ones that are still uneven are left to Spark's skew join, which can split them, as the other side is a written table.
+HEAVY_SHARE = 100
 
 
 def join_unique(rows: DataFrame, unique: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
