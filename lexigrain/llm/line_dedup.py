@@ -61,7 +61,7 @@ def in_order(counted: DataFrame, by: Sequence[str], rank: str) -> DataFrame:
 def repeated_segments(lines: DataFrame) -> DataFrame:
     """(row, id, seg, pos, w, r0): the lines whose id occurs more than once, in unbroken stretches of a row; r0: the line's rank."""
     ids = in_order(lines.groupBy("b", "c").agg(F.count("*").alias("m")).filter("m > 1"), ["b", "c"], "r0")
-    some = join_unique(lines, ids, ["b", "c"], "m")
+    some = join_unique(lines, ids, ["b", "c"], "m", merge=True)
     at = Window.partitionBy("row").orderBy("pos")
     return some.withColumn("seg", F.col("pos") - F.row_number().over(at)).select("row", "id", "seg", "pos", "w", "r0")
 
@@ -81,7 +81,7 @@ def suffix_ranks(segments: DataFrame, levels: int) -> DataFrame:
         placed = now.withColumn("nxt", F.coalesce(F.lead(r, 1 << h).over(at), F.lit(-1).cast("long")))
         pairs = in_order(placed.groupBy(r, "nxt").agg(F.count("*").alias("m")), [r, "nxt"], f"r{h + 1}")
         # A plan that used its input twice in every round would double with each.
-        refined = materialize(join_unique(placed, pairs, [r, "nxt"], "m").drop("nxt"), "ranks")
+        refined = materialize(join_unique(placed, pairs, [r, "nxt"], "m", merge=True).drop("nxt"), "ranks")
         release(now, pairs)
         now = refined
     return now
@@ -125,7 +125,7 @@ def repeated_lines(ranked: DataFrame, levels: int, min_words: int) -> DataFrame:
     def later(key: str, first_line: str) -> DataFrame:
         known = runs.filter(F.col(key).isNotNull()).select(*(F.col(f"{key}.{c}").alias(c) for c in ("n", "x", "y")), "row", "seg", "pos", "end", "start", F.struct("id", "row", first_line).alias("here"))
         first = known.groupBy("n", "x", "y").agg(F.min("here").alias("first"), F.count("*").alias("m")).filter("m > 1")
-        return join_unique(known, first, ["n", "x", "y"], "m").filter(F.col("here") > F.col("first"))
+        return join_unique(known, first, ["n", "x", "y"], "m", merge=True).filter(F.col("here") > F.col("first"))
 
     none = F.lit(None).cast("int")
     marks = later("begins", "pos").select("row", "seg", "pos", "end", none.alias("start")).unionByName(later("stops", "start").select("row", "seg", "pos", none.alias("end"), "start"))
@@ -141,9 +141,9 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     table = materialize(line_table(docs, id_col, text_col), "lines")
     key = F.struct("id", "row")
     first = table.groupBy("h1", "h2").agg(F.min(key).alias("first"), F.min("words").alias("words"), F.count("*").alias("m")).filter("m > 1")
-    copies = join_unique(table.select("row", "id", "h1", "h2", F.size("lines").alias("n_lines")), first, ["h1", "h2"], "m").filter(F.struct("id", "row") != F.col("first"))
+    copies = join_unique(table.select("row", "id", "h1", "h2", F.size("lines").alias("n_lines")), first, ["h1", "h2"], "m", merge=True).filter(F.struct("id", "row") != F.col("first"))
     copies = materialize(copies.select("row", "n_lines", "words"), "copies")
-    firsts = table.join(copies.select("row"), "row", "left_anti")
+    firsts = table.join(copies.select("row").hint("merge"), "row", "left_anti")
     lines = firsts.select("row", "id", F.posexplode("lines").alias("pos", "line")).select("row", "id", "pos", "line.b", "line.c", "line.w")
     lines = materialize(lines, "first-lines")
     levels = levels_for(min_words)
