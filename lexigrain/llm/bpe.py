@@ -29,6 +29,7 @@ from tokenizers import Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrain.llm.worker import serving
 from lexigrain.storage import bound_batches
 
 #: Words kept encoded per worker; when full the cache starts anew.
@@ -275,6 +276,11 @@ def tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drop the worker's tokenizers."""
+    _loaded.clear()
+
+
 def groups(texts: list[str], chars: int = GROUP_CHARS) -> Iterator[list[str]]:
     """Consecutive texts in groups of about ``chars`` characters."""
     group, size = [], 0
@@ -298,6 +304,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
     fields = [f"{id_col} {kind}", "n_tokens long", *["token_ids array<int>"] * ids, *(["ids_sha256 string", "decoded_sha256 string"] if digests else ["decoded string"])]
 
+    @serving("bpe", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         gc.disable()  # tries hold no cycles; looking for them costs a third of the time

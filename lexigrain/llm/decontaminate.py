@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.jaccard import without_rows
+from lexigrain.llm.worker import serving
 from lexigrain.storage import ROW, bound_batches, materialize, numbered
 
 #: Consecutive item words that make a window.
@@ -187,6 +188,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     number = F.monotonically_increasing_id() if row is None else row
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), number.alias("row"))
 
+    @serving("decontaminate")
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _stretches(batch):
@@ -201,6 +203,7 @@ def term_counts(index: DataFrame, wanted: dict[bytes, int]) -> np.ndarray:
     """How often the corpus has each wanted term; one row a term comes to the driver, which has the terms already."""
     sent = index.sparkSession.sparkContext.broadcast(wanted)
 
+    @serving("decontaminate")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(sent.value), np.int64)
         for batch in batches:
@@ -240,6 +243,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         filed = _filed(windows, term_counts(index, phrases.terms))
         sent = context.broadcast((phrases.terms, windows, owners, *filed))
 
+        @serving("decontaminate")
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             terms, windows, owners, orders, by_rarest = sent.value
             for batch in batches:
@@ -298,6 +302,7 @@ def index_postings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     for items in _blocks(benchmark, item_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(Phrases.of(items).terms)
 
+        @serving("decontaminate")
         def post(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names = list(sent.value)
             for batch in batches:

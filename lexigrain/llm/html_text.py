@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrain.llm.worker import serving
 from lexigrain.storage import bound_batches
 
 # Elements whose content is never text, that are boilerplate, that hold the article, and that end a block.
@@ -286,6 +287,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", ke
     bound_batches(pages.sparkSession)
     fields = [pages.schema[c] for c in keep]
 
+    @serving("html_text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.components import components
 from lexigrain.llm.skew import join_unique
+from lexigrain.llm.worker import serving, take
 from lexigrain.storage import ROW, as_given, bound_batches, materialize, numbered, only
 
 #: Bytes of text of a block of documents, and tokens of a bucket of hashes, about.
@@ -56,6 +57,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """Drop the worker's word hashes."""
+    _words.clear()
+
+
 def split_words(text: str | None) -> list[bytes]:
     """A-Z lower-cased, split at ASCII white space."""
     return text.encode().lower().split() if text else []
@@ -101,6 +107,7 @@ def document_frequencies(blocks: DataFrame, size: int, buckets: int, width: int,
     """
 
     def send(key: tuple, rows: pa.Table) -> pa.Table:
+        take("jaccard", forget)
         _, sets = _block(rows, size, split)
         token, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
         at = _slices(token, buckets)
@@ -110,6 +117,7 @@ def document_frequencies(blocks: DataFrame, size: int, buckets: int, width: int,
         return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int32()), "bucket": pa.array([x[0] for x in out], pa.int32()), "token": pa.array([x[1] for x in out], pa.binary()), "n": pa.array([x[2] for x in out], pa.binary())})
 
     def count(rows: pa.Table) -> pa.Table:
+        take("jaccard", forget)
         ns = [np.frombuffer(x.as_py(), np.uint8) for x in rows.column("n")]
         tokens = []
         for x, n in zip(rows.column("token"), ns, strict=True):
@@ -140,6 +148,7 @@ def prefixes(blocks: DataFrame, frequencies: DataFrame, size: int, percent: int,
     """One row per class: node, n (set size), tokens (the shared ones among the first n - need + 2, in corpus order), places (where they stand in the set's order, from 0), members (the whole set, where anything is shared)."""
 
     def run(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
+        take("jaccard", forget)
         nodes, sets = _block(rows, size, split)
         every = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]))
         parts = sorted(zip(counts.column("bucket").to_pylist(), counts.column("df").to_pylist(), strict=True))
@@ -167,6 +176,7 @@ def prefixes_by_rows(texts: DataFrame, size: int, percent: int, split=split_word
     tokens come back; a set's other tokens stand before them in its order.
     """
 
+    @serving("jaccard", forget)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, size, split).view(np.int64) for t in batch.column(1).to_pylist()]

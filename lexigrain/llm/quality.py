@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.html_text import STOP_WORDS
 from lexigrain.llm.labelled import MAX_FIT_ROWS, training_rows
+from lexigrain.llm.worker import serving
 from lexigrain.storage import bound_batches, materialize, release
 
 FEATURES = 256
@@ -110,6 +111,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _statistics_of(df: DataFrame) -> DataFrame:
+    @serving("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -152,6 +154,7 @@ def _constant(dim: int, level: float) -> Model:
 def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Sums of outer products over the sample, one matrix from each of FIT_PARTITIONS partitions."""
 
+    @serving("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((FEATURES + 1, FEATURES + 2))
         for batch in batches:
@@ -172,6 +175,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
 
+    @serving("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
 from lexigrain.llm.bpe import MergeTable, byte_chars
+from lexigrain.llm.worker import serving
 from lexigrain.storage import bound_batches
 
 #: Compiled states per worker; when full, compilation starts anew.
@@ -232,6 +233,13 @@ def transducer(path: str) -> Transducer:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drop the worker's transducers; their states point at one another."""
+    for machine in _loaded.values():
+        machine.clear()
+    _loaded.clear()
+
+
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """One row per input row: the id, ``n_bytes`` (UTF-8) and ``n_tokens``.
 
@@ -246,6 +254,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
 
     def on_parts(use):
+        @serving("token_count", forget)
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine = transducer(path)
             gc.disable()

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexigrain.llm.worker import serving
+
 #: Vectors in a tile of queries, and in one of candidates.
 QUERY_TILE, CANDIDATE_TILE = 2048, 2048
 #: Queries that are multiplied at once.
@@ -59,6 +61,7 @@ def _vectors(batch: pa.RecordBatch, scale: Callable[[np.ndarray], np.ndarray]) -
 def pack(vectors: DataFrame, size: int, scale: Callable[[np.ndarray], np.ndarray] = quantize) -> DataFrame:
     """Tiles of up to ``size`` vectors of one length, ids ascending; unusable rows take no part. vectors: (id, vector)."""
 
+    @serving("topk")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrain.llm.labelled import MAX_FIT_ROWS, training_rows
+from lexigrain.llm.worker import serving
 from lexigrain.storage import bound_batches, materialize, release
 
 # What a disguising character may stand for.
@@ -79,6 +80,7 @@ for _c, _i in _CODE.items():
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Letter trigrams of all texts: an array of fixed size, summed by partition and then by cell."""
 
+    @serving("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SIZE**3, np.int64)
         for batch in batches:
@@ -269,6 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", max_rows: int
     sent = docs.sparkSession.sparkContext.broadcast(counts)
     sample = training_rows(docs, labels, target, max_rows=max_rows)
 
+    @serving("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _Decodings(Decoder(sent.value)).__getitem__
         for batch in batches:
@@ -312,6 +315,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @serving("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = sent.value.scorer()
         for batch in batches:
