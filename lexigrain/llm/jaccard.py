@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.llm.components import components
 from lexigrain.llm.skew import join_unique
-from lexigrain.llm.worker import serving, take
+from lexigrain.llm.worker import serving, take, trim
 from lexigrain.storage import ROW, as_given, bound_batches, materialize, numbered, only
 
 #: Bytes of text of a block of documents, and tokens of a bucket of hashes, about.
@@ -108,6 +108,7 @@ def document_frequencies(blocks: DataFrame, size: int, buckets: int, width: int,
 
     def send(key: tuple, rows: pa.Table) -> pa.Table:
         take("jaccard", forget)
+        trim()
         _, sets = _block(rows, size, split)
         token, n = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
         at = _slices(token, buckets)
@@ -118,6 +119,7 @@ def document_frequencies(blocks: DataFrame, size: int, buckets: int, width: int,
 
     def count(rows: pa.Table) -> pa.Table:
         take("jaccard", forget)
+        trim()
         ns = [np.frombuffer(x.as_py(), np.uint8) for x in rows.column("n")]
         tokens = []
         for x, n in zip(rows.column("token"), ns, strict=True):
@@ -149,6 +151,7 @@ def prefixes(blocks: DataFrame, frequencies: DataFrame, size: int, percent: int,
 
     def run(key: tuple, rows: pa.Table, counts: pa.Table) -> pa.Table:
         take("jaccard", forget)
+        trim()
         nodes, sets = _block(rows, size, split)
         every = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]))
         parts = sorted(zip(counts.column("bucket").to_pylist(), counts.column("df").to_pylist(), strict=True))
