@@ -121,9 +121,11 @@ class CachedPages(Extractor):
         hashed = files.withColumn("hash", F.sha2("content", 256))
         names = hashed.select("path", "hash")
         known = _read(spark, self.cache_path, "hash string, page_num int, text string")
-        # A file without pages is known by a row of page 0.
         missing = hashed.join(known.select("hash").distinct(), "hash", "left_anti").dropDuplicates(["hash"])
-        fresh = missing.select("path", "hash").join(self.inner.pages(missing.drop("hash")), "path", "left")
+        # Each content goes to the extractor under its hash: which of its copies is kept, so which path, may differ each time that Spark works it out.
+        found = self.inner.pages(missing.withColumn("path", F.col("hash")).drop("hash")).withColumnRenamed("path", "hash")
+        # A file without pages is known by a row of page 0.
+        fresh = missing.select("hash").join(found, "hash", "left")
         fresh = materialize(fresh.select("hash", F.coalesce("page_num", F.lit(0)).alias("page_num"), "text"), "pages")
         if not fresh.isEmpty():
             fresh.write.mode("append").parquet(self.cache_path)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from lexigrain.operators.store import ChunkStore
 from lexigrain.plans.ingest import ingest_documents, ingest_files
 from lexigrain.schema import CHUNK_SCHEMA, ChunkingConfig, Source
 from lexigrain.sources import config
-from lexigrain.sources.extract import CachedPages, Extractor, GivenPages, Poppler, run_tool
+from lexigrain.sources.extract import CachedPages, Extractor, FormFeedText, GivenPages, Poppler, run_tool
 from lexigrain.sources.files import read_documents, resolve_format
 from lexigrain.streaming.ingest import stream_folder
 
@@ -157,6 +158,16 @@ def test_page_cache(spark, tmp_path):
         run_tool(["false"])
 
 
+def test_page_cache_of_copies(spark, tmp_path):
+    """Spark may keep another copy's path each time that it drops copies; here every evaluation gives other paths."""
+    elsewhere = F.udf(lambda path: f"{path}-{uuid.uuid4().hex}").asNondeterministic()
+    files = spark.createDataFrame([(f"f{i}", f"{i % 3}\fpage".encode()) for i in range(12)] + [("none", b"")], "path string, content binary").select(elsewhere("path").alias("path"), "content")
+    cached = CachedPages(FormFeedText(), str(tmp_path / "cache"))
+    for _ in range(2):
+        got = cached.pages(files).collect()
+        assert sorted((r.path.split("-")[0], r.page_num, r.text) for r in got) == sorted((f"f{i}", *p) for i in range(12) for p in ((1, str(i % 3)), (2, "page")))
+
+
 def test_poppler(spark, tmp_path):
     tool = tmp_path / "pdftotext"
     tool.write_text('#!/bin/sh\nprintf "one\\f\\f three \\n"\n')
