@@ -24,7 +24,7 @@ from lexigrain.operators.store import ChunkStore
 from lexigrain.plans.ingest import assemble, ingest_documents
 from lexigrain.schema import CHUNK_SCHEMA, DEFAULT_CONTENT_TYPES, ChunkingConfig, Source
 from lexigrain.sources.extract import CachedPages, FormFeedText, GivenPages
-from lexigrain.sources.files import read_texts
+from lexigrain.sources.files import read_texts, write_texts
 from lexigrain.storage import new_path
 
 SOURCE = Source("corpus", "Corpus", "generic", "", "hash-16", 16, "homebrew", ChunkingConfig(min_tokens=40, max_tokens=120, overlap_tokens=10))
@@ -147,7 +147,7 @@ def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as text files and read whole: characters and lines of all."""
     path = new_path(spark, "texts")
-    table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    write_texts(table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value")), path)
     files = read_texts(spark, path)
     return files.agg(F.sum(F.length("text")).alias("chars"), F.sum(F.length("text") - F.length(F.translate("text", "\n", ""))).cast("long").alias("lines"), (F.count("doc_path") == F.count_distinct("doc_path")).alias("own_paths"))
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from lexigrain.functions.text import join_pages
 from lexigrain.sources.extract import Extractor
+from lexigrain.storage import shuffles_dropped
+
+#: Bytes of a file that ``write_texts`` writes, about; whoever reads it whole holds it several times.
+FILE_BYTES = 8 << 20
 
 
 def resolve_format(path: Column, format: str = "auto") -> Column:
@@ -21,6 +25,17 @@ def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_path"), F.col("value").alias("text"))
 
 
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Write a frame of one string column as text files, a text after the other with a line break behind each.
+
+    Files are of about FILE_BYTES, or of one text that is longer, however the
+    input is cut: each can be read whole.
+    """
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]) + F.lit(1).cast("long"))).first()[0] or 0
+    with shuffles_dropped(texts.sparkSession):
+        texts.repartition(-(-size // FILE_BYTES) or 1).write.text(path)
+
+
 def read_documents(spark: SparkSession, path: str | list[str], format: str = "auto", extractor: Extractor | None = None) -> DataFrame:
     """(doc_path, text, paged): markdown as it is, pdf pages joined with page markers.
 

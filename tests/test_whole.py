@@ -12,6 +12,7 @@ from test_queries import DIR
 from lexigrain.functions.stem import stem
 from lexigrain.operators import fulltext
 from lexigrain.plans import queries
+from lexigrain.sources import files
 
 
 def cosine(a, b):
@@ -44,3 +45,14 @@ def test_stems_of_all_languages(spark):
     words = lambda rows: {w for r in rows for w in re.split("[^a-z]+", (r.text or "").lower().translate(fold)) if w} - fulltext.STOP_WORDS
     assert words(docs) > words(r for r in docs if r.lang == "en")
     assert sorted(map(tuple, queries.stems(spark, DIR).collect())) == sorted((w, stem(w)) for w in words(docs))
+
+
+def test_text_files_are_small(spark, tmp_path, monkeypatch):
+    """However the documents are cut, no file holds much more than FILE_BYTES; nothing is lost."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").collect()]
+    total = sum(len(t.encode()) + 1 for t in texts)
+    monkeypatch.setattr(files, "FILE_BYTES", total // 20, raising=False)
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: str(tmp_path / name))
+    assert queries.text_files(spark, DIR).first().chars == sum(len(t) + 1 for t in texts)
+    sizes = [p.stat().st_size for p in (tmp_path / "texts").glob("*.txt")]
+    assert sum(sizes) == total and max(sizes) < total // 20 + 2 * max(len(t.encode()) for t in texts)
