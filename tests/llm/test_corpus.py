@@ -176,6 +176,35 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_in_few_statements(spark, monkeypatch):
+    """The driver keeps something of every statement: a long path takes two tables, as a pair does."""
+    tables = []
+    for module in (components, skew):
+        monkeypatch.setattr(module, "materialize", lambda df, name="table": tables.append(name) or storage.materialize(df, name))
+    nodes = list(range(300))
+    random.Random(3).shuffle(nodes)
+    edges = spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long")
+    assert dict(map(tuple, components.components(edges).collect())) == dict.fromkeys(range(300), 0)
+    assert len(tables) <= 2
+    links = storage.materialize(edges, "links")
+    assert components.components(links).count() == 300 and links.count() == 299
+
+
+@pytest.mark.parametrize("most", [1 << 20, 60])
+def test_components_over_tasks(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "EDGES_PER_TASK", most)
+    rng = random.Random(most)
+    edges = [(9_000_000_000 + i, 9_000_000_001 + i) for i in range(40)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(130)] + [(5000, i) for i in range(5001, 5060)] * 2 + [(-7, -3), (-3, -3)]
+    rng.shuffle(edges)
+    least = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(len(edges)):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert Counter(map(tuple, got)) == Counter(least.items())
+
+
 # Decontamination.
 
 ITEMS = [(1, "one two three four five six seven eight nine ten eleven"), (2, "tiny item"), (2, "Tiny, ITEM"), (3, ""), (4, None), (None, "naïve été")]
